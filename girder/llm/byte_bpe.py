@@ -239,9 +239,8 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def run(batches):
         bpe = coder(ranks_path, pattern)
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_batch(python_texts(batch.column(1))), pa.binary())], ["id", "ids"])
+        for batch in small_batches(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_batch(python_texts(batch.column(1))), pa.binary())], ["id", "ids"])
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
 
@@ -251,9 +250,8 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def run(batches):
         bpe = coder(ranks_path, pattern)
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], ["id", "raw"])
+        for batch in small_batches(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], ["id", "raw"])
 
     return df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, raw binary").withColumnRenamed("id", id_col)
 
@@ -263,18 +261,17 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches):
         bpe = coder(ranks_path, pattern)
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                ids = bpe.encode_batch(python_texts(batch.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-                    ],
-                    ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in small_batches(batches, 1):
+            ids = bpe.encode_batch(python_texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                ],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
