@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup
-from .common import on_workers, table
+from . import byte_bpe, exact_dedup, language_id
+from .common import held_out, on_workers, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, ~held_out(F.col("doc_id"), 4, 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +28,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-_QUERIES = [op4_exact_dedup, op5_byte_bpe]
+_QUERIES = [op2_language_id, op4_exact_dedup, op5_byte_bpe]
 _SQL = {"op4_exact_dedup": exact_dedup.ORACLE}
 
 
