@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curve_packing, exact_dedup, language_id, topk
+from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, language_id, topk
 from .common import held_out, on_workers, table
 
 
@@ -34,13 +34,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-_QUERIES = [op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op9_topk]
-_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
+_QUERIES = [op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op7_chat_rotation, op9_topk]
+_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_rotation": chat_rotation.ORACLE, "op9_topk": topk.ORACLE}
 
 
 def _ready(query: Callable) -> Callable:
