@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, language_id, topk
+from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, language_id, quality, topk
 from .common import held_out, on_workers, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~out))
+    return quality.predict(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, ~held_out(F.col("doc_id"), 4, 2))
@@ -43,7 +49,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-_QUERIES = [op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op7_chat_rotation, op9_topk]
+_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op7_chat_rotation, op9_topk]
 _SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_rotation": chat_rotation.ORACLE, "op9_topk": topk.ORACLE}
 
 
