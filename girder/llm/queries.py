@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, language_id, quality, topk
+from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, html_text, language_id, quality, topk
 from .common import held_out, on_workers, table
 
 
@@ -40,6 +40,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op7_chat_rotation, op9_topk]
+_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op6_html_text, op7_chat_rotation, op9_topk]
 _SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_rotation": chat_rotation.ORACLE, "op9_topk": topk.ORACLE}
 
 
