@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import tempfile
 import uuid
@@ -40,17 +42,51 @@ def scratch_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+class _Scratch:
+    """Folders that go when nothing refers to this object any more, at the application's end at the latest."""
+
+    def __init__(self):
+        self.paths: list[tuple] = []
+
+    def __del__(self):
+        for system, where in self.paths:
+            with contextlib.suppress(Exception):  # the session may have ended
+                system.delete(where, True)
+
+
+_open: list[_Scratch] = []
+
+
+def scoped(f):
+    """What f keep()s lives as long as the DataFrame that it returns."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _open.append(_Scratch())
+        try:
+            out = f(*args, **kwargs)
+            out._scratch = _open[-1]
+            return out
+        finally:
+            _open.pop()
+
+    return run
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The folder goes when the application ends.
+    The folder goes when the application ends, or with the result of the scoped function it is made in.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/girder/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(where)
+    if _open:
+        _open[-1].paths.append((system, where))
     return spark.read.schema(df.schema).parquet(path)
 
 

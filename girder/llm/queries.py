@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, html_text, language_id, quality, topk
-from .common import held_out, on_workers, table
+from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, html_text, jaccard_trees, language_id, quality, topk
+from .common import held_out, on_workers, scoped, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,16 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op6_html_text, op7_chat_rotation, op9_topk]
+def op10_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trees.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op6_html_text, op7_chat_rotation, op9_topk, op10_jaccard_trees]
 _SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_rotation": chat_rotation.ORACLE, "op9_topk": topk.ORACLE}
 
 
 def _ready(query: Callable) -> Callable:
+    @scoped
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         on_workers(spark)
         return query(spark, sf_dir)
