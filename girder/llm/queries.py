@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, html_text, jaccard_trees, language_id, quality, topk
+from . import byte_bpe, chat_rotation, curve_packing, exact_dedup, html_text, jaccard_trees, language_id, quality, suffix_dedup, topk
 from .common import held_out, on_workers, scoped, table
 
 
@@ -48,6 +48,10 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -57,7 +61,7 @@ def op10_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trees.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op6_html_text, op7_chat_rotation, op9_topk, op10_jaccard_trees]
+_QUERIES = [op1_quality, op2_language_id, op3_curve_packing, op4_exact_dedup, op5_byte_bpe, op6_html_text, op7_chat_rotation, op8_suffix_dedup, op9_topk, op10_jaccard_trees]
 _SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_rotation": chat_rotation.ORACLE, "op9_topk": topk.ORACLE}
 
 
