@@ -86,10 +86,16 @@ def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; for a pipeline stage.
 
-    The winners are one id for each distinct text, joined back by id.
+    Where ids are unique the winners are joined back by id. Where some repeat, they are joined by digest
+    and id, and of rows that repeat both one stays.
     """
-    groups = exact_groups(docs, id_col, text_col).select(F.col("keep_id").alias(id_col))
-    return docs.join(keep(groups, "exact-kept"), id_col, "left_semi")
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        kept = keep(exact_groups(docs, id_col, text_col).select("keep_id"), "exact-kept")
+        return docs.join(kept, F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
+    kept = keep(exact_groups(docs, id_col, text_col).select("digest", "keep_id"), "exact-kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), sha256(normalised(F.col(text_col))).alias("_digest"))
+    stay = packed.join(kept, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return stay.dropDuplicates(["_digest"]).select("row.*")
 
 
 ORACLE = r"""

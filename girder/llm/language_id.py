@@ -282,3 +282,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         none = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(float("nan")).alias("cross_entropy")]
         return docs.select(id_col, *none)
     return _score(docs, model, id_col, text_col).withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that are not rejected, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        m = held.value
+        for batch in small_batches(batches, place):
+            _, _, rejected = m.decide(m.score_texts(python_texts(batch.column(place))))
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

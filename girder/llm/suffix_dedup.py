@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, small_batches
 from .induced import BUFFER, IN_MEMORY, sort_suffixes
@@ -219,6 +220,38 @@ def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int
     return segments.mapInArrow(run, "anchor long, digest binary, covered array<struct<a:int,b:int>>")
 
 
+def _merged(removed) -> list[list[int]]:
+    """The union of spans, as maximal runs in order."""
+    spans: list[list[int]] = []
+    for start, stop in sorted((r["start"], r["stop"]) for r in removed or ()):
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], stop)
+        else:
+            spans.append([start, stop])
+    return spans
+
+
+def _without(text: bytes, spans: list) -> bytes:
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last:a])
+        last = b
+    kept.append(text[last:])
+    return b"".join(kept)
+
+
+def _whole_characters(text: bytes, spans: list) -> list[tuple[int, int]]:
+    """The spans without the parts of characters that they hold at their ends."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
 def _cut(rows: DataFrame, length: int, id_kind: str) -> DataFrame:
     """Of rows (id, text, removed): what is left."""
 
@@ -226,18 +259,8 @@ def _cut(rows: DataFrame, length: int, id_kind: str) -> DataFrame:
         for batch in small_batches(batches, 1):
             out = []
             for id_, text, removed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans: list[list[int]] = []
-                for r in sorted((r["start"], r["stop"]) for r in removed or ()):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1])
-                    else:
-                        spans.append(list(r))
-                kept, last = [], 0
-                for a, b in spans:
-                    kept.append(text[last:a])
-                    last = b
-                kept.append(text[last:])
-                out.append((id_, len(text), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
+                spans = _merged(removed)
+                out.append((id_, len(text), sum(b - a for a, b in spans), len(spans), _without(text, spans)))
             each = list(zip(*out, strict=True))
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(each, kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -245,11 +268,10 @@ def _cut(rows: DataFrame, length: int, id_kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_memory: int = IN_MEMORY, buffer: int = BUFFER) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of every row."""
+def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: int) -> DataFrame:
+    """doc, version, removed (spans, overlapping) of the documents that lose something; rows: of _rows()."""
     if not gram <= length <= 250 or gram & (gram - 1):
         raise ValueError("the length is 250 bytes at most, and the gram a power of two not above it")
-    rows = _rows(docs, id_col, text_col)
     anchors = _segments(rows, length, gram)
     repeated = keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     mine = anchors.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("segments"))
@@ -272,11 +294,42 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
     windows = F.when(is_first, F.col("covered")).otherwise(all_of_it)
     spans = F.transform(windows, lambda w: F.struct((F.col("first") + w["a"]).alias("start"), (F.col("first") + w["b"] + (length - 1)).alias("stop")))
-    gone = met.select("doc", "version", F.explode(spans).alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("removed"))
+    return met.select("doc", "version", F.explode(spans).alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("removed"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_memory: int = IN_MEMORY, buffer: int = BUFFER) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of every row."""
+    rows = _rows(docs, id_col, text_col)
+    gone = _removed(rows, length, gram, in_memory, buffer)
     out = _cut(rows.join(gone, ["doc", "version"], "left").select("id", "text", "removed"), length, docs.schema[id_col].dataType.simpleString())
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The documents with all their columns, the text without repeated strings; for a pipeline stage.
+
+    Of a character that a repeated string holds in part nothing goes. Documents keep their rows even if
+    nothing is left; null texts stay null. chars_col, where there, counts the new text's characters.
+    """
+    gone = _removed(_rows(docs, id_col, text_col), length, gram, IN_MEMORY, BUFFER)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("version"))
+    both = keyed.join(gone, ["doc", "version"], "left").select(F.col(f"row.`{text_col}`").cast("binary").alias("text"), "removed", "row")
+    kind = both.schema["row"].dataType
+
+    def run(batches):
+        for batch in small_batches(batches, 0):
+            new = []
+            for text, removed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(text if not removed else _without(text, _whole_characters(text, _merged(removed))))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()), batch.column(2)], ["new", "row"])
+
+    cut = both.mapInArrow(run, T.StructType([T.StructField("new", T.StringType()), T.StructField("row", kind)]))
+    changed = {text_col: F.col("new"), chars_col: F.coalesce(F.char_length("new"), F.col(f"row.`{chars_col}`")).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
+    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def digests(docs: DataFrame, **options) -> DataFrame:
     """suffix_dedup() with the SHA-256 of the kept bytes instead of these."""
     out = suffix_dedup(docs, **options)
