@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import geometry as geo
-from girder.operators import edits, indexes, spatial, traversal
+from girder.operators import edits, ifc, indexes, spatial, state, traversal
 from girder.operators import query as q
 from girder.plans.model_sql import ATTRIBUTES, BOXES, EDGES, ITEMS, LOG, SAMPLES, TRANSFORMS
 from girder.sources import star_schema as star
+from girder.sources import step_text as step
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,10 +151,10 @@ _GUIDS = ["NATION:3", "ORDERS:7", "NOBODY:1", "PART:0", "NATION:3"]
 _VALUES = ", ".join(f"({k}, '{g}')" for k, g in enumerate(_GUIDS))
 
 
-@graded(f"WITH {ITEMS}, asked(pos, guid) AS (VALUES {_VALUES}) SELECT CAST(pos AS BIGINT) AS pos, a.guid, local_id FROM asked a LEFT JOIN items i ON i.guid = a.guid")
+@graded(f"WITH {ITEMS}, asked(pos, guid) AS (VALUES {_VALUES}) SELECT CAST(pos AS BIGINT) AS pos, a.guid, CAST(local_id AS VARCHAR) AS local_id FROM asked a LEFT JOIN items i ON i.guid = a.guid")
 def guid_lookup(spark, d):
     asked = spark.createDataFrame(list(enumerate(_GUIDS)), "pos long, guid string")
-    return q.look_up(asked, star.items(spark, d), "guid", "local_id")
+    return q.look_up(asked, star.items(spark, d), "guid", "local_id").withColumn("local_id", F.col("local_id").cast("string"))
 
 
 @graded(f"WITH {ITEMS}, asked(pos, local_id) AS (VALUES (0, 26), (1, 62), (2, -5), (3, 26)) SELECT CAST(pos AS BIGINT) AS pos, CAST(a.local_id AS BIGINT) AS local_id, category FROM asked a LEFT JOIN items i ON i.local_id = a.local_id")
@@ -202,13 +203,13 @@ def spatial_descendants(spark, d):
 
 @graded(f"""WITH {EDGES}, r AS (SELECT CAST(n_nationkey AS BIGINT) * 8 + 2 AS root FROM nation WHERE n_regionkey = 2),
   one AS (SELECT root, root AS parent, name, dst_id AS local_id, 1 AS depth FROM r JOIN edges ON src_id = root WHERE name IN ('HasSuppliers', 'InRegion'))
-  SELECT root, parent, name, local_id, depth, name = 'HasSuppliers' AS with_attributes FROM one WHERE name = 'HasSuppliers'
-  UNION ALL SELECT root, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), root, 0, true FROM r
-  UNION ALL SELECT o.root, o.local_id, e.name, e.dst_id, 2, true FROM one o JOIN edges e ON e.src_id = o.local_id WHERE o.name = 'HasSuppliers' AND e.name = 'Supplies'""")
+  SELECT root, CAST(parent AS VARCHAR) AS parent, name, local_id, depth, name = 'HasSuppliers' AS with_attributes FROM one WHERE name = 'HasSuppliers'
+  UNION ALL SELECT root, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), root, 0, true FROM r
+  UNION ALL SELECT o.root, CAST(o.local_id AS VARCHAR), e.name, e.dst_id, 2, true FROM one o JOIN edges e ON e.src_id = o.local_id WHERE o.name = 'HasSuppliers' AND e.name = 'Supplies'""")
 def item_data_depth2(spark, d):
     nations = star.read(spark, d, "nation").where("n_regionkey = 2").select(star.local_id("n_nationkey", 2).alias("local_id"))
     config = traversal.DataConfig({"HasSuppliers": traversal.Expansion(True, True), "InRegion": traversal.Expansion(False, False), "Supplies": traversal.Expansion(True, False), "InNation": traversal.Expansion(False, False)})
-    return traversal.item_data(star.edges(spark, d, ("HasSuppliers", "InRegion", "Supplies", "InNation")), nations, config)
+    return traversal.item_data(star.edges(spark, d, ("HasSuppliers", "InRegion", "Supplies", "InNation")), nations, config).withColumn("parent", F.col("parent").cast("string"))
 
 
 @graded(f"""WITH {BOXES}, c AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3')
@@ -447,3 +448,73 @@ def geometry_dedup(spark, d):
 def item_positions(spark, d):
     drawn = star.samples(spark, d).select("item_id")
     return star.global_transforms(spark, d).join(drawn, "item_id", "left_semi").select((F.col("item_id") * 8 + 6).alias("local_id"), F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("gz").alias("z"))
+
+
+# ---- STEP text ------------------------------------------------------------------------------------------------------
+
+_LINES = """lines AS (
+  SELECT '#' || (CAST(r_regionkey AS BIGINT) * 8 + 1) || '= IFCBUILDING(' || '''REGION:' || r_regionkey || ''',$,''' || r_name || ''')' AS s FROM region
+  UNION ALL SELECT '#' || (CAST(n_nationkey AS BIGINT) * 8 + 2) || '= IFCBUILDINGSTOREY(' || '''NATION:' || n_nationkey || ''',#' || (CAST(n_regionkey AS BIGINT) * 8 + 1) || ',''' || n_name || ''')' FROM nation
+  UNION ALL SELECT '#' || (CAST(c_custkey AS BIGINT) * 8 + 3) || '= IFCWALL(' || '''CUSTOMER:' || c_custkey || ''',#' || (CAST(c_nationkey AS BIGINT) * 8 + 2) || ',''' || c_name || ''')' FROM customer
+  UNION ALL SELECT '#' || (CAST(o_orderkey AS BIGINT) * 8 + 6) || '= IFCOPENINGELEMENT(' || '''ORDERS:' || o_orderkey || ''',$,''' || o_orderpriority || ''')' FROM orders
+  UNION ALL SELECT '#' || (CAST(o_orderkey AS BIGINT) * 8 + 7) || '= IFCRELVOIDSELEMENT(' || '''VOID:' || o_orderkey || ''',$,$,$,#' || (CAST(o_custkey AS BIGINT) * 8 + 3) || ',#' || (CAST(o_orderkey AS BIGINT) * 8 + 6) || ')' FROM orders)"""
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return step.parsed(step.star_statements(spark, d))
+
+
+@graded(f"""WITH {_LINES}, p AS (SELECT CAST(regexp_extract(s, '^#([0-9]+)', 1) AS BIGINT) AS id, regexp_extract(s, '= *([A-Z0-9_]+)', 1) AS type,
+    regexp_extract_all(s, '#([0-9]+)', 1) AS refs FROM lines)
+  SELECT id, type, array_to_string(list_filter(list_transform(refs, lambda r: CAST(r AS BIGINT)), lambda r: r <> id AND r > 0), ',') AS refs FROM p""")
+def step_refs(spark, d):
+    return _parsed(spark, d).select("id", "type", joined("refs"))
+
+
+@graded("""SELECT CAST(o_custkey AS BIGINT) * 8 + 3 AS src_id, 'HasOpenings' AS name, CAST(o_orderkey AS BIGINT) * 8 + 6 AS dst_id FROM orders
+  UNION ALL SELECT CAST(o_orderkey AS BIGINT) * 8 + 6, 'VoidsElements', CAST(o_custkey AS BIGINT) * 8 + 3 FROM orders""")
+def import_relations(spark, d):
+    return ifc.relations(ifc.relation_pairs(_parsed(spark, d), step.arguments))
+
+
+def _elements(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("type").isin("IFCWALL", "IFCOPENINGELEMENT")).select("id")
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _parsed(spark, d)
+    return ifc.element_clusters(_elements(parsed), ifc.relation_pairs(parsed, step.arguments))
+
+
+_CLUSTER = """SELECT CAST(o_orderkey AS BIGINT) * 8 + 6 AS id, CAST(o_custkey AS BIGINT) * 8 + 3 AS c FROM orders UNION ALL SELECT CAST(c_custkey AS BIGINT) * 8 + 3, CAST(c_custkey AS BIGINT) * 8 + 3 FROM customer"""
+
+
+@graded(f"WITH m AS ({_CLUSTER}) SELECT id, min(id) OVER (PARTITION BY c) AS cluster FROM m")
+def ifc_clusters(spark, d):
+    return _clusters(spark, d)
+
+
+@graded()
+def ifc_split_groups(spark, d):
+    return ifc.pack(_clusters(spark, d), 4)
+
+
+@graded(f"""WITH RECURSIVE {_LINES}, p AS (SELECT CAST(regexp_extract(s, '^#([0-9]+)', 1) AS BIGINT) AS id, regexp_extract(s, '= *([A-Z0-9_]+)', 1) AS type,
+    regexp_extract_all(s, '#([0-9]+)', 1) AS refs FROM lines),
+  e AS (SELECT id AS a, type, CAST(unnest(refs) AS BIGINT) AS b FROM p),
+  reached AS (SELECT CAST(unnest([11, 19, 27]) AS BIGINT) AS id UNION SELECT b FROM reached JOIN e ON a = id
+    WHERE b > 0 AND b <> a AND (type NOT IN ('IFCWALL', 'IFCOPENINGELEMENT') OR a IN (11, 19, 27)))
+  SELECT id FROM reached""")
+def ifc_extract_closure(spark, d):
+    parsed = _parsed(spark, d)
+    return ifc.extract(parsed, spark.createDataFrame([(11,), (19,), (27,)], "id long"), _elements(parsed))
+
+
+# ---- item state -----------------------------------------------------------------------------------------------------
+
+
+@graded("SELECT o_orderkey AS item_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus <> 'F'")
+def visibility_filter(spark, d):
+    drawn = star.samples(spark, d).select("item_id").distinct().withColumn("visible", F.lit(True))
+    hidden = star.read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item_id"))
+    return state.by_visibility(state.set_visible(drawn, hidden, False), True)
