@@ -16,10 +16,12 @@ An empty table gives an empty result. Columns other than the id and the text are
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+#: A full stop or comma between an ASCII letter and white space is a piece of its own.
+STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+
+
+def _plain(text: bytes) -> bytes:
+    """The text with fewer different words: runs between white space that the tokenizer treats on their own.
+
+    The tokenizer lower-cases, and splits letters from other signs; doing so here for ASCII changes no id.
+    Texts that might hold a special token's string are left as they are.
+    """
+    return text if b"<|" in text else STOP.sub(rb" \g<0>", text.lower())
+
+
 class _Tokens:
     def __init__(self, path: str):
         import os
@@ -78,21 +93,27 @@ class _Tokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        cut = [t.split() for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        fresh: dict[bytes, bytes] = {}
+        cut = pc.ascii_split_whitespace(pa.array([_plain(t) for t in texts], pa.large_binary()).view(pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.large_binary()).to_pylist()
+        get = self.known.get
+        ids = [get(w) for w in distinct]
+        new = [k for k, x in enumerate(ids) if x is None]
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
-            for raw, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                fresh[raw] = np.array(found.ids, self.kind).tobytes()
-        if len(self.known) + len(new) <= MEMORY and all(len(x) <= LONG for x in new):
-            self.known.update(fresh)
-            find = self.known.__getitem__
-        else:
-            short = [(k, v) for k, v in fresh.items() if len(k) <= LONG]
-            self.known.update(short[: max(0, MEMORY - len(self.known))])
-            find = lambda x: fresh[x] if x in fresh else self.known[x]
-        return [b"".join(map(find, words)) for words in cut]
+            for k, got in zip(part, self.tokenizer.encode_batch_fast([distinct[k].decode() for k in part], add_special_tokens=False), strict=True):
+                ids[k] = np.array(got.ids, self.kind).tobytes()
+        if room := max(0, MEMORY - len(self.known)):
+            self.known.update([(distinct[k], ids[k]) for k in new if len(distinct[k]) <= LONG][:room])
+        which = words.indices.to_numpy()
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        each = lengths[which]
+        ends = np.cumsum(each)
+        begins = (np.cumsum(lengths) - lengths)[which] - ends + each
+        out = flat[np.repeat(begins, each) + np.arange(int(each.sum()))].tobytes()
+        stops = np.r_[0, ends][np.cumsum(cut.value_lengths().to_numpy())] * self.kind.itemsize if len(texts) else np.zeros(0, np.int64)
+        return [out[a:b] for a, b in zip(np.r_[0, stops[:-1]].tolist(), stops.tolist(), strict=True)]
 
     def keys(self, ids: list[bytes]) -> np.ndarray:
         """The curve keys of documents."""
