@@ -60,9 +60,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         apart = clashing.cache()
         full = exact_groups(docs, id_col, text_col, salts, digest).join(apart, "digest", "left_semi")
-        found = _with_groups(rows.join(apart, "digest", "left_anti").drop("content"), groups).unionByName(
-            rows.join(apart, "digest", "left_semi").join(full, ["digest", "content"]).drop("content")
-        )
+        full = full.select(F.col("digest").alias("d"), F.col("content").alias("c"), "keep_id", "group_size")
+        clear = _with_groups(rows.join(apart, "digest", "left_anti").drop("content"), groups)
+        mixed = rows.join(apart, "digest", "left_semi").join(full, (F.col("digest") == F.col("d")) & (F.col("content") == F.col("c")))
+        found = clear.unionByName(mixed.select(*clear.columns))
     kept = F.col("keep_id").eqNullSafe(F.col("_id"))
     return found.select(F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
