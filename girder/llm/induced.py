@@ -25,6 +25,12 @@ IN_MEMORY = 1 << 22  # strings of names up to this length are sorted by doubling
 BUFFER = 1 << 22  # entries that a queue holds before they go to disk
 
 
+def _stable(symbols: np.ndarray) -> np.ndarray:
+    """A stable argsort; of small symbols by radix."""
+    small = len(symbols) and symbols.max() < 1 << 16
+    return np.argsort(symbols.astype(np.uint16) if small else symbols, kind="stable")
+
+
 class BulkQueue:
     """A priority queue of (symbol, insertion order) with columns, drained one symbol at a time.
 
@@ -42,7 +48,7 @@ class BulkQueue:
     def insert(self, symbols: np.ndarray, *columns: np.ndarray) -> None:
         if not len(symbols):
             return
-        order = np.argsort(symbols, kind="stable")
+        order = _stable(symbols)
         symbols, columns = symbols[order], [c[order] for c in columns]
         first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
         for symbol, a, b in zip(symbols[first].tolist(), first.tolist(), np.r_[first[1:], len(symbols)].tolist(), strict=True):
@@ -156,7 +162,7 @@ class _Since:
         """common: of a stretch of scanned suffixes, each with the one before. sources: which of them
         induce, ascending. Returns the common prefix of each induced entry with the one before it in its
         symbol (0 for the first)."""
-        order = np.argsort(targets, kind="stable")
+        order = _stable(targets)
         t, s = targets[order], sources[order]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
         low = np.r_[0, s[:-1] + 1] if len(s) else s
@@ -261,7 +267,7 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: max(0, n - step)] = rank[step:]
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may come in any order
         sorted_key = key[order]
         fresh = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
         if n == 0 or fresh[-1] == n:

@@ -6,22 +6,22 @@ document of smaller id, or earlier in the same one. Strings are judged on the in
 1. Anchors. Every window of ``length`` bytes has one anchor: the first of its GRAM-byte strings with the least
    hash. Equal windows have equal anchors at equal distances, so windows whose anchor occurs once in the
    corpus are unique, and consecutive windows of one anchor form a segment. Spark counts the anchors.
-2. Segments of repeated anchors get their bytes from their documents. Equal segments are combined (first
-   place, number of places), so a text with any number of copies is one segment each.
-3. Shards by anchor hold all segments that can share a window. In each, the bytes of all segments are written
-   to disk and their suffixes sorted by external induced sorting with common prefixes. Suffixes that share
-   ``length`` bytes are neighbours; all but the first in the corpus are covered.
+2. Equal segments of repeated anchors are combined (first place, number of places), so a text with any number
+   of copies has each of its segments once. An anchor with one kind of segment needs no more: all places
+   but the first are covered.
+3. The kinds of segments of all other anchors get their bytes. A shard holds all segments of its anchors; they are
+   written to disk and their suffixes sorted by external induced sorting with common prefixes. Suffixes that
+   share ``length`` bytes are neighbours; all but the first in the corpus are covered.
 4. The covered windows of each segment go back to its places (at later places of a segment all are covered),
    and each document loses the union.
 
-Null text is empty. Texts shorter than ``length`` lose nothing. A null id comes before all others. Rows with the
-same id are one document: places at equal starts are the same place, and none of them is earlier. Empty
-tables give empty results; columns other than id and text are not read.
+Segments are told apart by 128 bits of hash. Null text is empty. Texts shorter than ``length`` lose nothing. A null
+id comes before all others. Rows with the same id are one document: places at equal starts are the same
+place, and none of them is earlier. Empty tables give empty results; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import keep, small_batches
 from .induced import BUFFER, IN_MEMORY, sort_suffixes
-from .jaccard_trees import mix
+from .jaccard_trees import _powers, mix
 
 LENGTH, GRAM = 100, 16
 CHUNK = 1 << 19  # windows looked at together
@@ -42,8 +42,11 @@ PLACE = np.uint64((1 << 20) - 1)
 def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """raw: bytes of several documents, below 2**20; starts, stops: of each document.
 
-    Returns for each segment: document, first window (from the document's start), windows, anchor's hash.
+    Returns for each segment: document, first window (from the document's start), windows, the hashes of its
+    anchor and of all its bytes.
     """
+    up, down = _powers(1 << len(raw).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(up[: len(raw)] * mix(raw.astype(np.uint64) + np.uint64(7)))]
     h = raw.astype(np.uint64) + np.uint64(1)
     width, power = 1, 0x9E3779B97F4A7C15
     while width < gram:
@@ -63,7 +66,10 @@ def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int
     anchor = (low[window] & PLACE).astype(np.int64)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1])]) if len(window) else np.zeros(0, np.int64)
     many = np.diff(np.r_[first, len(window)])
-    return which[first], window[first] - starts[which[first]], many, h[anchor[first]].view(np.int64)
+    begin = window[first]
+    end = begin + many + length - 1
+    whole = mix((sums[end] - sums[begin]) * down[begin] + end.astype(np.uint64) - begin.astype(np.uint64)).view(np.int64)
+    return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), whole
 
 
 def anchors_of(texts: list[bytes], length: int, gram: int):
@@ -84,50 +90,59 @@ def anchors_of(texts: list[bytes], length: int, gram: int):
         raw = np.frombuffer(b"".join([texts[k][start : start + size] for k, start, size in part]), np.uint8)
         sizes = np.array([size for _, _, size in part])
         stops = np.cumsum(sizes)
-        which, first, many, hashes = _anchors(raw, stops - sizes, stops, length, gram)
+        which, first, many, hashes, whole = _anchors(raw, stops - sizes, stops, length, gram)
         doc, offset = np.array([k for k, _, _ in part]), np.array([start for _, start, _ in part])
-        yield doc[which], first + offset[which], many, hashes
+        yield doc[which], first + offset[which], many, hashes, whole
+
+
+def _version(docs: DataFrame, id_col: str, text):
+    """Tells texts of the same id apart; 0 where ids are unique."""
+    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    return F.lit(0).cast("long") if unique else F.xxhash64(text)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("version"))
+    version = _version(docs, id_col, text)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(id_col).alias("id"), text.cast("binary").alias("text"), version.alias("version"))
 
 
 def _segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Every segment of every document; ``lead`` marks the first of its kind in the document."""
+
     def run(batches):
-        for batch in small_batches(batches, 1, 1 << 20):
-            ids = batch.column(0).to_numpy()
-            for which, first, many, hashes in anchors_of(batch.column(1).to_pylist(), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[which]), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))], ["anchor", "doc", "first", "windows"])
+        for batch in small_batches(batches, 2, 1 << 20):
+            docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            each = list(anchors_of(batch.column(2).to_pylist(), length, gram))
+            if not each:
+                continue
+            which, first, many, anchor, digest = (np.concatenate(c) for c in zip(*each, strict=True))
+            order = np.lexsort((first, digest, anchor, which))
+            w, a, d = which[order], anchor[order], digest[order]
+            lead = np.ones(len(order), bool)
+            lead[order[1:]] = (w[1:] != w[:-1]) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+            columns = [anchor, digest, docs[which], versions[which], first.astype(np.int32), many.astype(np.int32), lead]
+            for start in range(0, len(lead), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["anchor", "digest", "doc", "version", "first", "windows", "lead"])
 
-    return rows.select("doc", "text").mapInArrow(run, "anchor long, doc long, first int, windows int")
+    return rows.select("doc", "version", "text").mapInArrow(run, "anchor long, digest long, doc long, version long, first int, windows int, lead boolean")
 
 
 def _with_bytes(joined: DataFrame, length: int) -> DataFrame:
-    """Of rows (doc, version, text, segments): every segment with a digest, and its bytes where a task meets it first."""
+    """Of rows (doc, text, segments): every segment with its bytes."""
 
     def run(batches):
-        seen: set[bytes] = set()
-        for batch in small_batches(batches, 2):
+        for batch in small_batches(batches, 1):
             out: list[tuple] = []
-            for doc, version, text, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for s in segments:
                     raw = text[s["first"] : s["first"] + s["windows"] + length - 1]
-                    if len(raw) < s["windows"] + length - 1:
-                        continue  # of another text of this id
-                    digest = hashlib.blake2b(raw, digest_size=16).digest()
-                    new = digest not in seen
-                    if new:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(digest)
-                    out.append((s["anchor"], digest, doc, version, s["first"], s["windows"], raw if new else None))
-            if out:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "digest", "doc", "version", "first", "windows", "raw"])
-
-    return joined.mapInArrow(run, "anchor long, digest binary, doc long, version long, first int, windows int, raw binary")
+                    out.append((s["anchor"], s["digest"], doc, s["first"], s["windows"], raw))
+            for start in range(0, len(out), 20_000):
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[start : start + 20_000], strict=True), kinds, strict=True)], ["anchor", "digest", "doc", "first", "windows", "raw"])
+
+    return joined.mapInArrow(run, "anchor long, digest long, doc long, first int, windows int, raw binary")
 
 
 class Shard:
@@ -200,15 +215,14 @@ def _ranges(segment: np.ndarray, window: np.ndarray) -> dict[int, list[dict]]:
 
 
 def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int) -> DataFrame:
-    """Of rows (anchor, digest, at(doc, first), windows, raw): the covered windows of the first place of each."""
+    """Of rows (anchor, digest, doc, first, windows, raw): the covered windows of each."""
 
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
             shard, names = Shard(folder), []
-            for batch in small_batches(batches, 4):
-                anchor, digest, at, windows, raw = (c.to_pylist() for c in batch.columns)
-                for k in range(len(anchor)):
-                    shard.add(raw[k], windows[k], at[k]["doc"], at[k]["first"])
+            for batch in small_batches(batches, 5):
+                for doc, first, windows, raw in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+                    shard.add(raw, windows, doc, first)
                 names.append((batch.column(0), batch.column(1)))
             ranges = _ranges(*shard.covered(length, in_memory, buffer))
         done = 0
@@ -217,7 +231,7 @@ def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int
             done += len(anchor)
             yield pa.RecordBatch.from_arrays([anchor, digest, mine], ["anchor", "digest", "covered"])
 
-    return segments.mapInArrow(run, "anchor long, digest binary, covered array<struct<a:int,b:int>>")
+    return segments.mapInArrow(run, "anchor long, digest long, covered array<struct<a:int,b:int>>")
 
 
 def _merged(removed) -> list[list[int]]:
@@ -272,16 +286,18 @@ def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: in
     """doc, version, removed (spans, overlapping) of the documents that lose something; rows: of _rows()."""
     if not gram <= length <= 250 or gram & (gram - 1):
         raise ValueError("the length is 250 bytes at most, and the gram a power of two not above it")
-    anchors = _segments(rows, length, gram)
-    repeated = keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
-    mine = anchors.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("segments"))
-    places = keep(_with_bytes(rows.join(mine, "doc").select("doc", "version", "text", "segments"), length), "repeated-segments")
-    distinct = places.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "first")).alias("at"), F.max("windows").alias("windows"), F.max("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
-    distinct = keep(distinct, "distinct-segments")
-    shards = distinct.select("anchor", "digest", "at", "windows", "raw").repartition("anchor")
-    covered = keep(_sorted_shards(shards, length, in_memory, buffer), "covered-windows")
-    told = distinct.select("anchor", "digest", "at", "n").join(covered, ["anchor", "digest"]).where("n > 1 OR size(covered) > 0")
-    told = keep(told, "segments-told")
+    found = _segments(rows, length, gram)
+    repeated = keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
+    places = keep(found.join(repeated, "anchor"), "repeated-segments")
+    origin = F.when(F.col("lead"), F.col("doc"))
+    kinds = places.groupBy("anchor", "digest").agg(F.min(origin).alias("at_doc"), F.min_by("first", origin).alias("at_first"), F.min_by("version", origin).alias("at_version"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
+    kinds = keep(kinds, "kinds-of-segments")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    sought = kinds.join(several, "anchor").groupBy(F.col("at_doc").alias("doc"), F.col("at_version").alias("version")).agg(F.collect_list(F.struct("anchor", "digest", F.col("at_first").alias("first"), "windows")).alias("segments"))
+    bytes_of = _with_bytes(rows.join(sought, ["doc", "version"]).select("doc", "text", "segments"), length)
+    covered = keep(_sorted_shards(bytes_of.repartition("anchor"), length, in_memory, buffer), "covered-windows")
+    told = kinds.join(covered, ["anchor", "digest"], "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<struct<a:int,b:int>>"))).where("n > 1 OR size(covered) > 0")
+    told = keep(told.drop("windows"), "segments-told")
 
     # a segment of more than 1/1000 of all places is broadcast (there are fewer than 1000), others are joined by shuffle
     total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -290,7 +306,7 @@ def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: in
     rest = told.where(F.col("n") <= least)
     slim = places.select("anchor", "digest", "doc", "version", "first", "windows")
     met = slim.join(F.broadcast(hot), ["anchor", "digest"]).unionByName(slim.join(F.broadcast(hot.select("anchor", "digest")), ["anchor", "digest"], "left_anti").join(rest, ["anchor", "digest"]))
-    is_first = (F.col("doc") == F.col("at.doc")) & (F.col("first") == F.col("at.first"))
+    is_first = (F.col("doc") == F.col("at_doc")) & (F.col("first") <= F.col("at_first"))
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
     windows = F.when(is_first, F.col("covered")).otherwise(all_of_it)
     spans = F.transform(windows, lambda w: F.struct((F.col("first") + w["a"]).alias("start"), (F.col("first") + w["b"] + (length - 1)).alias("stop")))
@@ -314,7 +330,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     gone = _removed(_rows(docs, id_col, text_col), length, gram, IN_MEMORY, BUFFER)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("version"))
+    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), _version(docs, id_col, text).alias("version"))
     both = keyed.join(gone, ["doc", "version"], "left").select(F.col(f"row.`{text_col}`").cast("binary").alias("text"), "removed", "row")
     kind = both.schema["row"].dataType
 
