@@ -46,11 +46,13 @@ def closure(start: DataFrame, edges: DataFrame, stop: DataFrame | None = None, m
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """local_id of all that lies below roots(local_id) in nodes(node_id, parent_node_id, local_id).
 
-    Nodes without a local id group others and are passed, not returned; a root itself is not returned.
+    Nodes without a local id group others and are passed, not returned; a root is returned only if it lies
+    below another.
     """
-    top = nodes.join(roots, "local_id", "left_semi").select(F.col("node_id").alias("id"))
+    top = nodes.join(roots, "local_id", "left_semi").select(F.col("node_id").alias("a"))
     children = nodes.where("parent_node_id IS NOT NULL").select(F.col("parent_node_id").alias("a"), F.col("node_id").alias("b"))
-    below = closure(top, children).where("depth > 0").select("id")
+    first = children.join(top, "a", "left_semi").select(F.col("b").alias("id"))
+    below = closure(first, children).select("id")
     return nodes.join(below, nodes.node_id == below.id, "left_semi").where("local_id IS NOT NULL").select("local_id").distinct()
 
 
