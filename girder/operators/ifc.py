@@ -95,3 +95,46 @@ def rewrite_lists(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """type, relating, group_id, related: lists of relations cut down to a group's members; empty ones go."""
     kept = pairs.join(members.select(F.col("id").alias("related"), "group_id"), "related")
     return kept.groupBy("type", "relating", "group_id").agg(F.sort_array(F.collect_set("related")).alias("related"))
+
+
+def absolute_elevations(nodes: DataFrame, factor: float = 1.0, most: int = 100) -> DataFrame:
+    """id, elevation: own plus all elevations above, times a unit factor; nodes(id, parent_id, elevation).
+
+    Level by level from the roots; a null elevation counts as 0.
+    """
+    rows = nodes.select("id", "parent_id", F.coalesce("elevation", F.lit(0.0)).alias("own"))
+    level = traversal.materialise(rows.where("parent_id IS NULL").select("id", F.col("own").alias("elevation")))
+    out = level
+    for _ in range(most):
+        above = level.select(F.col("id").alias("parent_id"), F.col("elevation").alias("above"))
+        level = traversal.materialise(rows.join(above, "parent_id").select("id", (F.col("own") + F.col("above")).alias("elevation")))
+        if level.isEmpty():
+            return out.select("id", (F.col("elevation") * factor).alias("elevation"))
+        out = out.unionByName(level)
+    raise RuntimeError(f"no end after {most} levels")
+
+
+def unit_factor(prefix: str | None, unit: str) -> float:
+    """Metres in a length unit."""
+    return {"METRE": 1.0, "FOOT": 0.3048}[unit] * {None: 1.0, "MILLI": 1e-3, "CENTI": 1e-2, "DECI": 1e-1}[prefix]
+
+
+def attributes(parsed: DataFrame, arguments, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """id, ord, name, value_kind, v_str, v_num, type of scalar arguments; names: of each class's arguments in order.
+
+    References and lists of references are relations, $ and * are nothing, 'text' is a string, .T. and .F. are
+    truth values, TYPE(value) is unwrapped and keeps its type.
+    """
+    table = F.create_map(*[x for t, each in names.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in each]))])
+    rows = parsed.where(F.col("type").isin(*names)).withColumn("names", table[F.col("type")])
+    each = rows.select("id", "names", F.posexplode(arguments(F.col("args"))).alias("ord", "raw"))
+    typed = F.regexp_extract("raw", r"^([A-Z][A-Z0-9]*)\((.*)\)$", 1)
+    inner = F.when(typed != "", F.regexp_extract("raw", r"^([A-Z][A-Z0-9]*)\((.*)\)$", 2)).otherwise(F.col("raw"))
+    out = each.select("id", "ord", F.get("names", F.col("ord")).alias("name"), inner.alias("value"), typed.alias("typed"))
+    out = out.where("name IS NOT NULL AND value NOT IN ('$', '*') AND NOT value RLIKE '^#|^\\\\(' ")
+    text, truth = F.col("value").startswith("'"), F.col("value").isin(".T.", ".F.")
+    number = F.expr("try_cast(value AS double)")
+    kind = F.when(text, "string").when(truth, "boolean").when(number.isNotNull(), "number").otherwise("string")
+    body = F.when(text, F.regexp_replace(F.regexp_replace("value", r"^'|'$", ""), "''", "'")).when(~truth & number.isNull(), F.regexp_replace("value", r"^\.|\.$", ""))
+    guess = F.when(kind == "number", F.when(F.col("value").rlike(r"^-?\d+$"), "IFCINTEGER").otherwise("IFCREAL")).when(kind == "boolean", "IFCBOOLEAN").otherwise("IFCLABEL")
+    return out.select("id", "ord", "name", kind.alias("value_kind"), body.alias("v_str"), F.when(kind == "number", number).alias("v_num"), F.when(truth, F.col("value") == ".T.").alias("v_bool"), F.when(F.col("typed") != "", F.col("typed")).otherwise(guess).alias("type"))

@@ -89,3 +89,37 @@ def duplicates(rows: DataFrame, *key: str, row_id: str) -> DataFrame:
     """row_id, keeper: every row with the smallest row that equals it in key."""
     first = rows.groupBy(*key).agg(F.min(row_id).alias("keeper"))
     return rows.join(first, list(key)).select(row_id, "keeper")
+
+
+def elements(samples: DataFrame, transforms: DataFrame, representations: DataFrame) -> DataFrame:
+    """item_id, parts: each item's samples with representation, material and boxes, in a fixed order."""
+    joined = sample_boxes(samples, transforms, representations)
+    return joined.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("repr_id", "material", *LOW, *HIGH))).alias("parts"))
+
+
+def rectangle(boxes: DataFrame, planes, fully: bool = False) -> DataFrame:
+    """item_id of items that a selection frustum touches with any box, or holds with all of them."""
+    from girder.functions.geometry import box_meets
+
+    hit = boxes.withColumn("hit", box_meets(low(), high(), planes, included=fully))
+    return hit.groupBy("item_id").agg((F.min("hit") if fully else F.max("hit")).alias("hit")).where("hit").select("item_id")
+
+
+def tiles(boxes: DataFrame, dimension: float) -> DataFrame:
+    """Boxes with the tile they are drawn in: material, snapped centre and size class."""
+    def snap(a: str, b: str) -> Column:
+        middle = (F.col(a) + F.col(b)) / 2
+        return middle - F.expr(f"(({a} + {b}) / 2) % {float(dimension)}")
+
+    square = sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b in list(zip(LOW, HIGH, strict=True))[1:]), (F.col(HIGH[0]) - F.col(LOW[0])) * (F.col(HIGH[0]) - F.col(LOW[0])))
+    size = F.when(square > 4, "LARGE").when(square > 0.32, "MEDIUM").otherwise("SMALL")
+    return boxes.select("*", *[snap(a, b).alias(f"tile_{x}") for a, b, x in zip(LOW, HIGH, "xyz", strict=True)], size.alias("size_class"))
+
+
+def complement(runs_: DataFrame, total: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, size of the stretches between runs(keys, start, size), from 0 to total(keys, total)."""
+    order = Window.partitionBy(*keys).orderBy("start")
+    joined = total.join(runs_, list(keys), "left")
+    before = joined.select(*keys, "start", F.coalesce(F.lag(F.col("start") + F.col("size")).over(order), F.lit(0)).alias("from")).where("start > from").select(*keys, F.col("from").alias("start"), (F.col("start") - F.col("from")).alias("size"))
+    last = joined.groupBy(*keys, "total").agg(F.coalesce(F.max(F.col("start") + F.col("size")), F.lit(0)).alias("end")).where("total > end").select(*keys, F.col("end").alias("start"), (F.col("total") - F.col("end")).alias("size"))
+    return before.unionByName(last)

@@ -5,7 +5,9 @@ Each query is a thin binding of operators to the tables; arrays that are compare
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,15 @@ def graded(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, d):
+            # Python workers import this package even if the driver found it by sys.path alone
+            env, repo = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+            if repo not in env.get("PYTHONPATH", "").split(":"):
+                env["PYTHONPATH"] = ":".join(filter(None, [repo, env.get("PYTHONPATH", "")]))
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f
@@ -518,3 +528,64 @@ def visibility_filter(spark, d):
     drawn = star.samples(spark, d).select("item_id").distinct().withColumn("visible", F.lit(True))
     hidden = star.read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item_id"))
     return state.by_visibility(state.set_visible(drawn, hidden, False), True)
+
+
+# ---- more of geometry, state and import -----------------------------------------------------------------------------
+
+
+@graded(f"WITH {BOXES} SELECT item_id, count(*) AS n, string_agg(CAST(repr_id AS VARCHAR), ',' ORDER BY repr_id, material, minx, miny, minz) AS reprs FROM boxes GROUP BY item_id")
+def elements_bundle(spark, d):
+    found = spatial.elements(star.samples(spark, d), star.global_transforms(spark, d), star.representations(spark, d))
+    return found.select("item_id", F.size("parts").cast("long").alias("n"), F.array_join(F.transform("parts", lambda p: p["repr_id"].cast("string")), ",").alias("reprs"))
+
+
+@graded(f"WITH {BOXES} SELECT item_id FROM boxes GROUP BY item_id HAVING bool_or({_meets(False)})")
+def rectangle_touching(spark, d):
+    return spatial.rectangle(boxes(spark, d), _PLANES)
+
+
+@graded(f"WITH {BOXES} SELECT item_id FROM boxes GROUP BY item_id HAVING bool_and({_meets(True)})")
+def rectangle_fully_inside(spark, d):
+    return spatial.rectangle(boxes(spark, d), _PLANES, fully=True)
+
+
+@graded(f"""WITH {BOXES}, t AS (SELECT material, (minx + maxx) / 2 - ((minx + maxx) / 2) % 32.0 AS tile_x, CASE WHEN pow(maxx - minx, 2) + pow(maxy - miny, 2) + pow(maxz - minz, 2) > 4 THEN 'LARGE'
+    WHEN pow(maxx - minx, 2) + pow(maxy - miny, 2) + pow(maxz - minz, 2) > 0.32 THEN 'MEDIUM' ELSE 'SMALL' END AS size_class FROM boxes)
+  SELECT material, round(tile_x, 4) AS tile_x, size_class, count(*) AS n FROM t GROUP BY ALL""")
+def tile_keys(spark, d):
+    return spatial.tiles(boxes(spark, d), 32.0).groupBy("material", F.round("tile_x", 4).alias("tile_x"), "size_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@graded("""WITH a AS (SELECT DISTINCT l_returnflag AS tile, l_orderkey AS pos FROM lineitem), m AS (SELECT max(o_orderkey) + 1 AS total FROM orders),
+  f AS (SELECT t.tile, o_orderkey AS pos FROM orders, (SELECT DISTINCT tile FROM a) t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.tile = t.tile AND a.pos = o_orderkey)),
+  g AS (SELECT tile, pos, pos - row_number() OVER (PARTITION BY tile ORDER BY pos) AS island FROM f)
+  SELECT tile, min(pos) AS start, count(*) AS size FROM g GROUP BY tile, island""")
+def draw_chunks_complement(spark, d):
+    drawn = spatial.runs(star.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("tile"), F.col("l_orderkey").alias("pos")).distinct(), "tile")
+    total = drawn.select("tile").distinct().crossJoin(F.broadcast(star.read(spark, d, "orders").agg((F.max("o_orderkey") + 1).alias("total"))))
+    return spatial.complement(drawn, total, "tile")
+
+
+@graded("""SELECT CAST(c_custkey AS BIGINT) * 8 + 3 AS id, 0 AS ord, 'GlobalId' AS name, 'string' AS value_kind, 'CUSTOMER:' || c_custkey AS v_str, 'IFCLABEL' AS type FROM customer
+  UNION ALL SELECT CAST(c_custkey AS BIGINT) * 8 + 3, 2, 'Name', 'string', c_name, 'IFCLABEL' FROM customer""")
+def import_attributes(spark, d):
+    return ifc.attributes(_parsed(spark, d), step.arguments, {"IFCWALL": ("GlobalId", "ContainedIn", "Name")}).select("id", "ord", "name", "value_kind", "v_str", "type")
+
+
+@graded("""SELECT CAST(r_regionkey AS BIGINT) * 8 + 1 AS id, round(r_regionkey * 0.3048, 4) AS elevation FROM region
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 8 + 2, round((n_nationkey + n_regionkey) * 0.3048, 4) FROM nation
+  UNION ALL SELECT CAST(c_custkey AS BIGINT) * 8 + 3, round((c_acctbal + n_nationkey + n_regionkey) * 0.3048, 4) FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def absolute_elevations(spark, d):
+    region, nation, customer = (star.read(spark, d, t) for t in ("region", "nation", "customer"))
+    nodes = region.select(star.local_id("r_regionkey", 1).alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_regionkey").cast("double").alias("elevation"))
+    nodes = nodes.unionAll(nation.select(star.local_id("n_nationkey", 2), star.local_id("n_regionkey", 1), F.col("n_nationkey").cast("double")))
+    nodes = nodes.unionAll(customer.select(star.local_id("c_custkey", 3), star.local_id("c_nationkey", 2), "c_acctbal"))
+    return ifc.absolute_elevations(nodes, ifc.unit_factor(None, "FOOT")).select("id", F.round("elevation", 4).alias("elevation"))
+
+
+@graded("""SELECT 'IFCRELVOIDSELEMENT' AS type, CAST(o_custkey AS BIGINT) * 8 + 3 AS relating, o_orderkey % 3 AS group_id, string_agg(CAST(CAST(o_orderkey AS BIGINT) * 8 + 6 AS VARCHAR), ',' ORDER BY o_orderkey) AS related
+  FROM orders WHERE o_orderkey % 3 < 2 GROUP BY o_custkey, o_orderkey % 3""")
+def relation_rewrite(spark, d):
+    pairs = ifc.relation_pairs(_parsed(spark, d), step.arguments)
+    members = star.read(spark, d, "orders").where("o_orderkey % 3 < 2").select(star.local_id("o_orderkey", 6).alias("id"), (F.col("o_orderkey") % 3).alias("group_id"))
+    return ifc.rewrite_lists(pairs, members).select("type", "relating", "group_id", joined("related"))
