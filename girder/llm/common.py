@@ -55,17 +55,25 @@ class _Scratch:
 
 
 _open: list[_Scratch] = []
+_latest: list[_Scratch] = []
 
 
 def scoped(f):
-    """What f keep()s lives as long as the DataFrame that it returns."""
+    """What f keep()s lives as long as the DataFrame that it returns, and until the next outermost call at least.
+
+    The latter is for DataFrames that are made from the result and outlive it.
+    """
 
     @functools.wraps(f)
     def run(*args, **kwargs):
+        if not _open:
+            _latest.clear()
         _open.append(_Scratch())
         try:
             out = f(*args, **kwargs)
             out._scratch = _open[-1]
+            if len(_open) == 1:
+                _latest.append(_open[-1])
             return out
         finally:
             _open.pop()
@@ -97,6 +105,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and their peaks would add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))

@@ -20,7 +20,7 @@ import tempfile
 
 import numpy as np
 
-CAP = 250  # longest common prefix that is told
+CAP = 250  # longest common prefix that is told, unless less is asked for
 IN_MEMORY = 1 << 22  # strings of names up to this length are sorted by doubling
 BUFFER = 1 << 22  # entries that a queue holds before they go to disk
 
@@ -118,9 +118,10 @@ def star_suffixes(text: np.ndarray, block: int = 1 << 22) -> np.ndarray:
     for start in range((max(0, n - 1) // block) * block, -1, -block):
         part = text[start : start + block].astype(np.int64)
         nxt = np.r_[part[1:], after_symbol]
-        differ = np.flatnonzero(part != nxt)
+        flag = part != nxt
+        differ = np.flatnonzero(flag)
         small = np.zeros(len(part), bool)
-        which = np.searchsorted(differ, np.arange(len(part)))  # the end of the run of equal symbols
+        which = np.cumsum(flag) - flag  # the end of the run of equal symbols
         inside = which < len(differ)
         ends = differ[which[inside]]
         small[inside] = part[ends] < nxt[ends]
@@ -257,8 +258,11 @@ def induce(text: np.ndarray, stars: np.ndarray, star_common: np.ndarray | None,
     return symbols, large, small
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Places of suffixes in order, in memory; the end is smaller than every name."""
+def _by_doubling(names: np.ndarray, cap: int) -> np.ndarray:
+    """Places of suffixes in order, in memory; the end is smaller than every name.
+
+    Names stand for two symbols or more, so the order holds for cap symbols once that many names are looked at.
+    """
     n = len(names)
     _, rank = np.unique(names, return_inverse=True)
     rank = rank.astype(np.int64) + 1
@@ -270,7 +274,7 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         order = np.argsort(key)  # equal keys may come in any order
         sorted_key = key[order]
         fresh = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
-        if n == 0 or fresh[-1] == n:
+        if n == 0 or fresh[-1] == n or step > cap:
             return order
         rank = np.empty(n, np.int64)
         rank[order] = fresh
@@ -285,10 +289,14 @@ def _in_order(symbols: list[int], large: Sorted, small: Sorted):
         yield symbol, low, low_common, high[::-1], np.r_[np.uint8(0), high_common[:0:-1]] if len(high) else high_common
 
 
-def sort_suffixes(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY, buffer: int = BUFFER):
-    """Yields (positions, common) in suffix order; common is the prefix shared with the suffix before, up to CAP."""
-    stars = _sorted_stars(text, folder, in_memory, buffer)
-    common = _neighbours(text, stars)
+def sort_suffixes(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY, buffer: int = BUFFER, cap: int = CAP):
+    """Yields (positions, common) in suffix order; common is the prefix shared with the suffix before.
+
+    Order and common prefixes are right for the first cap symbols (CAP at most); suffixes that share more may
+    stand in any order, and common may fall short of what they share beyond.
+    """
+    stars = _sorted_stars(text, folder, in_memory, buffer, cap)
+    common = _neighbours(text, stars, cap)
     last = None
     for _, low, low_common, high, high_common in _in_order(*induce(text, stars, common, folder, buffer)):
         for positions, shared in ((low, low_common), (high, high_common)):
@@ -299,22 +307,27 @@ def sort_suffixes(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY, buf
                 yield positions, shared
 
 
-def _neighbours(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefixes of suffixes that follow each other in order, by comparing eight symbols at a time."""
+def _neighbours(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes, up to cap or a little more, of suffixes that follow each other in order.
+
+    Eight symbols are compared at a time, as one little-endian number.
+    """
     out = np.zeros(len(order), np.uint8)
     if len(order) < 2 or text.dtype != np.uint8:
         return out
     padded = np.concatenate([text, np.zeros(CAP + 16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     n = len(text)
     for start in range(1, len(order), 1 << 18):
         a, b = order[start - 1 : start - 1 + (1 << 18)].astype(np.int64), order[start : start + (1 << 18)].astype(np.int64)
         a = a[: len(b)]
         length, open_ = np.zeros(len(b), np.int64), np.arange(len(b))
-        for step in range(0, CAP, 8):
-            x = np.lib.stride_tricks.sliding_window_view(padded, 8)
-            same = x[a[open_] + step] == x[b[open_] + step]
-            whole = same.all(1)
-            length[open_] += np.where(whole, 8, same.argmin(1))
+        for step in range(0, cap, 8):
+            differ = eight[a[open_] + step] ^ eight[b[open_] + step]
+            whole = differ == 0
+            # the lowest set bit tells the first symbol that differs
+            lowest = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+            length[open_] += np.where(whole, 8, lowest)
             open_ = open_[whole]
             if not len(open_):
                 break
@@ -322,7 +335,7 @@ def _neighbours(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_stars(text: np.ndarray, folder: str, in_memory: int, buffer: int) -> np.ndarray:
+def _sorted_stars(text: np.ndarray, folder: str, in_memory: int, buffer: int, cap: int) -> np.ndarray:
     """The S* suffixes in order."""
     stars = star_suffixes(text)
     if len(stars) < 2:
@@ -334,7 +347,7 @@ def _sorted_stars(text: np.ndarray, folder: str, in_memory: int, buffer: int) ->
     order = [high[is_star[high]] for _, _, _, high, _ in _in_order(symbols, large, small)]
     order = np.concatenate(order).astype(np.int64)
     # names: equal substrings (to the next S* or the end) get equal names
-    place = np.searchsorted(stars, order)
+    place = (np.cumsum(is_star, dtype=np.int32 if len(text) < 1 << 31 else np.int64) - 1)[order]
     ends = np.r_[stars[1:] + 1, len(text)][place]
     lengths = ends - order
     same = np.r_[False, lengths[1:] == lengths[:-1]]
@@ -356,10 +369,10 @@ def _sorted_stars(text: np.ndarray, folder: str, in_memory: int, buffer: int) ->
     if names.max() + 1 == len(names):
         return order
     if len(names) <= in_memory:
-        return stars[_by_doubling(names)]
+        return stars[_by_doubling(names, cap)]
     path = os.path.join(folder, f"names-{len(names)}-{os.getpid()}")
     names.tofile(path)
     inner = np.memmap(path, np.int64, "r")
-    ranks = [p for p, _ in sort_suffixes(inner, folder, in_memory, buffer)]
+    ranks = [p for p, _ in sort_suffixes(inner, folder, in_memory, buffer, cap)]
     os.unlink(path)
     return stars[np.concatenate(ranks).astype(np.int64)]

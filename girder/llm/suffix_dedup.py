@@ -30,23 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_batches
+from .common import give_back, keep, small_batches
 from .induced import BUFFER, IN_MEMORY, sort_suffixes
 from .jaccard_trees import _powers, mix
 
 LENGTH, GRAM = 100, 16
 CHUNK = 1 << 19  # windows looked at together
 PLACE = np.uint64((1 << 20) - 1)
+SPREAD = mix(np.arange(7, 263, dtype=np.uint64))  # a large number for each byte
 
 
-def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, gram: int, bytes_too: bool) -> tuple[np.ndarray, ...]:
     """raw: bytes of several documents, below 2**20; starts, stops: of each document.
 
     Returns for each segment: document, first window (from the document's start), windows, the hashes of its
-    anchor and of all its bytes.
+    anchor and, if these are wanted, of all its bytes.
     """
-    up, down = _powers(1 << len(raw).bit_length())
-    sums = np.r_[np.uint64(0), np.cumsum(up[: len(raw)] * mix(raw.astype(np.uint64) + np.uint64(7)))]
     h = raw.astype(np.uint64) + np.uint64(1)
     width, power = 1, 0x9E3779B97F4A7C15
     while width < gram:
@@ -67,12 +66,27 @@ def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1])]) if len(window) else np.zeros(0, np.int64)
     many = np.diff(np.r_[first, len(window)])
     begin = window[first]
+    if not bytes_too:
+        return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), many
+    up, down = _powers(1 << len(raw).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(up[: len(raw)] * SPREAD[raw])]
     end = begin + many + length - 1
     whole = mix((sums[end] - sums[begin]) * down[begin] + end.astype(np.uint64) - begin.astype(np.uint64)).view(np.int64)
     return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), whole
 
 
-def anchors_of(texts: list[bytes], length: int, gram: int):
+def _only_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The anchors of all segments, for counting."""
+
+    def run(batches):
+        for batch in small_batches(batches, 0, 1 << 20):
+            for _, _, _, anchor, _ in anchors_of(batch.column(0).to_pylist(), length, gram, bytes_too=False):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
+
+    return rows.select("text").mapInArrow(run, "anchor long")
+
+
+def anchors_of(texts: list[bytes], length: int, gram: int, bytes_too: bool = True):
     """The same for texts of any size, in chunks."""
     room, part = CHUNK, []
     chunks: list[list[tuple[int, int, int]]] = [part]
@@ -90,7 +104,7 @@ def anchors_of(texts: list[bytes], length: int, gram: int):
         raw = np.frombuffer(b"".join([texts[k][start : start + size] for k, start, size in part]), np.uint8)
         sizes = np.array([size for _, _, size in part])
         stops = np.cumsum(sizes)
-        which, first, many, hashes, whole = _anchors(raw, stops - sizes, stops, length, gram)
+        which, first, many, hashes, whole = _anchors(raw, stops - sizes, stops, length, gram, bytes_too)
         doc, offset = np.array([k for k, _, _ in part]), np.array([start for _, start, _ in part])
         yield doc[which], first + offset[which], many, hashes, whole
 
@@ -124,6 +138,7 @@ def _segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [anchor, digest, docs[which], versions[which], first.astype(np.int32), many.astype(np.int32), lead]
             for start in range(0, len(lead), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["anchor", "digest", "doc", "version", "first", "windows", "lead"])
+        give_back()
 
     return rows.select("doc", "version", "text").mapInArrow(run, "anchor long, digest long, doc long, version long, first int, windows int, lead boolean")
 
@@ -170,7 +185,7 @@ class Shard:
         starts, windows, docs, firsts = (np.array(x, np.int64) for x in (self.starts, self.windows, self.docs, self.firsts))
         found: list[tuple] = []
         tail = np.zeros(0, np.int64)
-        for positions, common in sort_suffixes(text, self.folder, in_memory, buffer):
+        for positions, common in sort_suffixes(text, self.folder, in_memory, buffer, cap=length):
             positions = positions.astype(np.int64)
             same = common >= length
             if same[0] and len(tail):
@@ -225,6 +240,7 @@ def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int
                     shard.add(raw, windows, doc, first)
                 names.append((batch.column(0), batch.column(1)))
             ranges = _ranges(*shard.covered(length, in_memory, buffer))
+        give_back()
         done = 0
         for anchor, digest in names:
             mine = pa.array([ranges.get(done + k, []) for k in range(len(anchor))], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
@@ -287,7 +303,7 @@ def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: in
     if not gram <= length <= 250 or gram & (gram - 1):
         raise ValueError("the length is 250 bytes at most, and the gram a power of two not above it")
     found = _segments(rows, length, gram)
-    repeated = keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
+    repeated = keep(_only_anchors(rows, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     places = keep(found.join(repeated, "anchor"), "repeated-segments")
     origin = F.when(F.col("lead"), F.col("doc"))
     kinds = places.groupBy("anchor", "digest").agg(F.min(origin).alias("at_doc"), F.min_by("first", origin).alias("at_first"), F.min_by("version", origin).alias("at_version"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
