@@ -89,13 +89,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/girder/{name}-{uuid.uuid4().hex}"
     # what the query has shuffled is of no use once its result is written
-    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(tidy, None)
-    spark.conf.set(tidy, "true")
+    # batches of texts for Python stay small
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(tidy) if before is None else spark.conf.set(tidy, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -36,6 +36,7 @@ from .jaccard_trees import _powers, mix
 
 LENGTH, GRAM = 100, 16
 CHUNK = 1 << 19  # windows looked at together
+SHARDS_A_PARTITION = 4  # sorting holds about a hundred bytes for each byte of a shard
 PLACE = np.uint64((1 << 20) - 1)
 SPREAD = mix(np.arange(7, 263, dtype=np.uint64))  # a large number for each byte
 
@@ -311,7 +312,8 @@ def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: in
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     sought = kinds.join(several, "anchor").groupBy(F.col("at_doc").alias("doc"), F.col("at_version").alias("version")).agg(F.collect_list(F.struct("anchor", "digest", F.col("at_first").alias("first"), "windows")).alias("segments"))
     bytes_of = _with_bytes(rows.join(sought, ["doc", "version"]).select("doc", "text", "segments"), length)
-    covered = keep(_sorted_shards(bytes_of.repartition("anchor"), length, in_memory, buffer), "covered-windows")
+    shards = SHARDS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    covered = keep(_sorted_shards(bytes_of.repartition(shards, "anchor"), length, in_memory, buffer), "covered-windows")
     told = kinds.join(covered, ["anchor", "digest"], "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<struct<a:int,b:int>>"))).where("n > 1 OR size(covered) > 0")
     told = keep(told.drop("windows"), "segments-told")
 
