@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import give_back, keep, small_batches
 
 WINDOW = 2048
 DIMS, BITS = 4, 15
@@ -142,6 +142,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     """id, curve_key, ids (binary, with the end id) of every row."""
 
     def run(batches):
+        give_back()
         tokens = _of(tokenizer_path)
         end = np.array([end_id], tokens.kind).tobytes()
         for batch in small_batches(batches, 1):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import give_back, keep, small_batches
 from .graph import components
 
 SPACE = np.zeros(256, bool)
@@ -170,6 +170,7 @@ def _sets(docs: DataFrame, measure: Measure, id_col: str, text_col: str, part: i
     """id, n, low, high, and either the keys of one part of the key space or the members."""
 
     def run(batches):
+        give_back()
         for batch in small_batches(batches, 1, 1 << 20):
             sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()], measure.width)
             digest = [_digest(s) for s in sets]
