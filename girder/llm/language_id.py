@@ -27,13 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, python_texts, small_batches
+from .common import give_back, keep, python_texts, small_batches
 
 ORDER = 5
 SAMPLE_DOCS = 1500
 REJECT_SD = 6.0
 LEAST_VARIANCE = 0.09  # of cross-entropy between texts: a passage in another language is no cause for rejection
-MEMORY = 700_000
+MEMORY = 300_000  # words remembered by each worker: about 60 MB
+BATCH = 2 << 20  # bytes of text looked at together
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 HAS_LETTER = regex.compile(r"\p{L}").search
@@ -121,27 +122,26 @@ class Model:
         fresh = self.score_tokens(new)
         base = len(self.words)
         local = dict(zip(new, range(base, base + len(new)), strict=True))
-        old = self._matrix(base)
         if base + len(new) <= MEMORY:
             self.words.update(local)
             self._append(fresh, base)
             table, find = self._matrix(base + len(new)), self.words.__getitem__
         else:
-            table, find = np.concatenate([old, fresh]), lambda x: local[x] if x in local else self.words[x]
+            table, find = np.concatenate([self._matrix(base), fresh.astype(np.float32)]), lambda x: local[x] if x in local else self.words[x]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(find, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         out = np.zeros((len(texts), len(self.languages) + 1))
         full = np.flatnonzero(sizes)
         if len(full):
-            out[full] = np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[full], 0)
+            out[full] = np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[full], 0, np.float64)
         return out
 
     def _matrix(self, n: int) -> np.ndarray:
-        return self.rows[0][:n] if self.rows else np.zeros((0, len(self.languages) + 1))
+        return self.rows[0][:n] if self.rows else np.zeros((0, len(self.languages) + 1), np.float32)
 
     def _append(self, fresh: np.ndarray, base: int) -> None:
         if not self.rows or base + len(fresh) > len(self.rows[0]):
-            grown = np.zeros((max(1 << 16, 2 * (base + len(fresh))), fresh.shape[1]))
+            grown = np.zeros((min(max(1 << 16, 2 * (base + len(fresh))), MEMORY), fresh.shape[1]), np.float32)
             grown[:base] = self._matrix(base)
             self.rows = [grown]
         self.rows[0][base : base + len(fresh)] = fresh
@@ -249,8 +249,9 @@ def _score(docs: DataFrame, model: Model, id_col: str, text_col: str, sums: bool
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        give_back()
         m = held.value
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, BATCH):
             texts = python_texts(batch.column(1))
             total = m.score_texts(texts)
             if sums:
@@ -270,6 +271,7 @@ def _score(docs: DataFrame, model: Model, id_col: str, text_col: str, sums: bool
                 ],
                 ["id", "lang_pred", "score", "rejected", "cross_entropy"],
             )
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, sums array<double>" if sums else f"id {kind}, lang_pred string, score double, rejected boolean, cross_entropy double"
@@ -290,9 +292,11 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     place = docs.columns.index(text_col)
 
     def run(batches):
+        give_back()
         m = held.value
-        for batch in small_batches(batches, place):
+        for batch in small_batches(batches, place, BATCH):
             _, _, rejected = m.decide(m.score_texts(python_texts(batch.column(place))))
             yield batch.filter(pa.array(~rejected))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
