@@ -9,10 +9,16 @@ document of smaller id, or earlier in the same one. Strings are judged on the in
 2. Equal segments of repeated anchors are combined (first place, number of places), so a text with any number
    of copies has each of its segments once. An anchor with one kind of segment needs no more: all places
    but the first are covered.
-3. The kinds of segments of all other anchors get their bytes. A shard holds all segments of its anchors; they are
-   written to disk and their suffixes sorted by external induced sorting with common prefixes. Suffixes that
-   share ``length`` bytes are neighbours; all but the first in the corpus are covered.
-4. The covered windows of each segment go back to its places (at later places of a segment all are covered),
+3. Where the kinds of segments of one anchor have more than GROUP bytes, all places of that anchor are split: the
+   windows whose anchor stands at one of ``width`` neighbouring offsets share the anchor with the bytes around it,
+   length + 1 - width in all, and a hash of these is the new anchor. Equal windows have equal offsets, so they stay
+   together. WIDTHS gets smaller while a group is too large; at 1 all windows of a group are equal and need no sorting.
+   Equal parts are combined as in 2.
+4. The kinds of segments of all other anchors get their bytes. A shard holds all segments of its anchors; they are
+   written to disk and their suffixes sorted by induced sorting with common prefixes. Suffixes that share ``length``
+   bytes are neighbours; all but the first in the corpus are covered. There are so many shards that each has about
+   SHARD bytes, and none of its anchors more than GROUP, whatever the corpus: that bounds a task's memory.
+5. The covered windows of each segment go back to its places (at later places of a segment all are covered),
    and each document loses the union.
 
 Segments are told apart by 128 bits of hash. Null text is empty. Texts shorter than ``length`` lose nothing. A null
@@ -36,16 +42,20 @@ from .jaccard_trees import _powers, mix
 
 LENGTH, GRAM = 100, 16
 CHUNK = 1 << 19  # windows looked at together
-SHARDS_A_PARTITION = 4  # sorting holds about a hundred bytes for each byte of a shard
+SHARDS_A_PARTITION = 4  # at least
+SHARD = 1 << 21  # bytes of segments; sorting holds about a hundred bytes for each
+GROUP = 1 << 18  # bytes of the different segments of one anchor, beyond which they are split
+WIDTHS = (21, 5, 1)  # offsets of the anchor that stay together when segments are split
 PLACE = np.uint64((1 << 20) - 1)
 SPREAD = mix(np.arange(7, 263, dtype=np.uint64))  # a large number for each byte
+SPREAD_KEY = mix(np.arange(1007, 1263, dtype=np.uint64))  # another, for the anchors of split segments
 
 
 def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, gram: int, bytes_too: bool) -> tuple[np.ndarray, ...]:
     """raw: bytes of several documents, below 2**20; starts, stops: of each document.
 
     Returns for each segment: document, first window (from the document's start), windows, the hashes of its
-    anchor and, if these are wanted, of all its bytes.
+    anchor and, if these are wanted, of all its bytes; and the anchor's place from the first window.
     """
     h = raw.astype(np.uint64) + np.uint64(1)
     width, power = 1, 0x9E3779B97F4A7C15
@@ -68,12 +78,12 @@ def _anchors(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int
     many = np.diff(np.r_[first, len(window)])
     begin = window[first]
     if not bytes_too:
-        return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), many
+        return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), many, anchor[first] - begin
     up, down = _powers(1 << len(raw).bit_length())
     sums = np.r_[np.uint64(0), np.cumsum(up[: len(raw)] * SPREAD[raw])]
     end = begin + many + length - 1
     whole = mix((sums[end] - sums[begin]) * down[begin] + end.astype(np.uint64) - begin.astype(np.uint64)).view(np.int64)
-    return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), whole
+    return which[first], begin - starts[which[first]], many, h[anchor[first]].view(np.int64), whole, anchor[first] - begin
 
 
 def _only_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -105,7 +115,7 @@ def anchors_of(texts: list[bytes], length: int, gram: int, bytes_too: bool = Tru
         raw = np.frombuffer(b"".join([texts[k][start : start + size] for k, start, size in part]), np.uint8)
         sizes = np.array([size for _, _, size in part])
         stops = np.cumsum(sizes)
-        which, first, many, hashes, whole = _anchors(raw, stops - sizes, stops, length, gram, bytes_too)
+        which, first, many, hashes, whole, _ = _anchors(raw, stops - sizes, stops, length, gram, bytes_too)
         doc, offset = np.array([k for k, _, _ in part]), np.array([start for _, start, _ in part])
         yield doc[which], first + offset[which], many, hashes, whole
 
@@ -132,16 +142,95 @@ def _segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if not each:
                 continue
             which, first, many, anchor, digest = (np.concatenate(c) for c in zip(*each, strict=True))
-            order = np.lexsort((first, digest, anchor, which))
-            w, a, d = which[order], anchor[order], digest[order]
-            lead = np.ones(len(order), bool)
-            lead[order[1:]] = (w[1:] != w[:-1]) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-            columns = [anchor, digest, docs[which], versions[which], first.astype(np.int32), many.astype(np.int32), lead]
-            for start in range(0, len(lead), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["anchor", "digest", "doc", "version", "first", "windows", "lead"])
+            yield from _told(which, docs, versions, first, many, anchor, digest)
         give_back()
 
-    return rows.select("doc", "version", "text").mapInArrow(run, "anchor long, digest long, doc long, version long, first int, windows int, lead boolean")
+    return rows.select("doc", "version", "text").mapInArrow(run, SEGMENTS)
+
+
+SEGMENTS = "anchor long, digest long, doc long, version long, first int, windows int, lead boolean"
+
+
+def _told(which, docs, versions, first, many, anchor, digest):
+    """Batches of segments; which: the row of each in docs and versions."""
+    order = np.lexsort((first, digest, anchor, which))
+    w, a, d = which[order], anchor[order], digest[order]
+    lead = np.ones(len(order), bool)
+    lead[order[1:]] = (w[1:] != w[:-1]) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+    columns = [anchor, digest, docs[which], versions[which], first.astype(np.int32), many.astype(np.int32), lead]
+    for start in range(0, len(lead), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], ["anchor", "digest", "doc", "version", "first", "windows", "lead"])
+
+
+def _parts(raws: list[bytes], length: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of segments (below 2**20 bytes in all), their parts: segment, first window in it, windows, the hashes of the bytes
+    that its windows share by their anchor and of all its bytes."""
+    raw, sizes = np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws], np.int64)
+    stops = np.cumsum(sizes)
+    which, _, many, _, _, at = _anchors(raw, stops - sizes, stops, length, gram, bytes_too=False)
+    up, down = _powers(1 << len(raw).bit_length())
+    sums = [np.r_[np.uint64(0), np.cumsum(up[: len(raw)] * spread[raw])] for spread in (SPREAD_KEY, SPREAD)]
+    found: list[tuple] = []
+    for low in range(0, length - gram + 1, width):
+        high = min(low + width, length - gram + 1)  # offsets low to high - 1; window j has offset at - j
+        a, b = np.maximum(0, at - high + 1), np.minimum(many, at - low + 1)
+        some = np.flatnonzero(a < b)
+        start = (stops - sizes)[some]
+        hashes = []
+        for total, begin, end in zip(sums, (start + at[some] - low, start + a[some]), (start + at[some] + length - high + 1, start + b[some] + length - 1), strict=True):
+            hashes.append(mix((total[end] - total[begin]) * down[begin] + np.uint64(low) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64)).view(np.int64))
+        found.append((which[some], a[some], (b - a)[some], *hashes))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _split(joined: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """Of rows (doc, version, text, segments): the parts of these segments."""
+
+    def run(batches):
+        for batch in small_batches(batches, 2, 1 << 20):
+            owner, firsts, raws = [], [], []
+            for row, (text, segments) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for first, windows in sorted({(s["first"], s["windows"]) for s in segments}):
+                    owner.append(row)
+                    firsts.append(first)
+                    raws.append(text[first : first + windows + length - 1])
+            each = []
+            for start in range(0, len(raws), 2000):
+                segment, offset, many, anchor, digest = _parts(raws[start : start + 2000], length, gram, width)
+                each.append((segment + start, offset, many, anchor, digest))
+            segment, offset, many, anchor, digest = (np.concatenate(c) for c in zip(*each, strict=True))
+            docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield from _told(np.array(owner)[segment], docs, versions, np.array(firsts)[segment] + offset, many, anchor, digest)
+        give_back()
+
+    return joined.select("doc", "version", "text", "segments").mapInArrow(run, SEGMENTS)
+
+
+def _kinds(places: DataFrame) -> DataFrame:
+    """Equal segments, combined: the first place and the number of places."""
+    origin = F.when(F.col("lead"), F.col("doc"))
+    return places.groupBy("anchor", "digest").agg(F.min(origin).alias("at_doc"), F.min_by("first", origin).alias("at_first"), F.min_by("version", origin).alias("at_version"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
+
+
+def _grouped(rows: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The places and kinds of repeated segments; the anchors with several kinds, none of more bytes than group."""
+    found = _segments(rows, length, gram)
+    repeated = keep(_only_anchors(rows, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
+    places = keep(found.join(repeated, "anchor"), "repeated-segments")
+    kinds = keep(_kinds(places), "kinds-of-segments")
+    widths = iter(WIDTHS)
+    while True:
+        several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows").cast("long") + (length - 1)).alias("bytes")).where("kinds > 1")
+        several = keep(several.select("anchor", "bytes"), "groups-of-kinds")
+        # at most one for each GROUP bytes of segments: a small table, as the optimiser sees from its file
+        large = keep(several.where(F.col("bytes") > group).select("anchor"), "large-groups")
+        width = next(widths, None)
+        if width is None or large.isEmpty():
+            return places, kinds, several
+        sought = places.join(large, "anchor").groupBy("doc", "version").agg(F.collect_list(F.struct("first", "windows")).alias("segments"))
+        parts = keep(_split(rows.join(sought, ["doc", "version"]), length, gram, width), "split-segments")
+        places = places.join(large, "anchor", "left_anti").unionByName(parts)
+        kinds = keep(kinds.join(large, "anchor", "left_anti").unionByName(_kinds(parts)), "kinds-of-segments")
 
 
 def _with_bytes(joined: DataFrame, length: int) -> DataFrame:
@@ -299,20 +388,15 @@ def _cut(rows: DataFrame, length: int, id_kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: int) -> DataFrame:
+def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: int, group: int) -> DataFrame:
     """doc, version, removed (spans, overlapping) of the documents that lose something; rows: of _rows()."""
     if not gram <= length <= 250 or gram & (gram - 1):
         raise ValueError("the length is 250 bytes at most, and the gram a power of two not above it")
-    found = _segments(rows, length, gram)
-    repeated = keep(_only_anchors(rows, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
-    places = keep(found.join(repeated, "anchor"), "repeated-segments")
-    origin = F.when(F.col("lead"), F.col("doc"))
-    kinds = places.groupBy("anchor", "digest").agg(F.min(origin).alias("at_doc"), F.min_by("first", origin).alias("at_first"), F.min_by("version", origin).alias("at_version"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
-    kinds = keep(kinds, "kinds-of-segments")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    sought = kinds.join(several, "anchor").groupBy(F.col("at_doc").alias("doc"), F.col("at_version").alias("version")).agg(F.collect_list(F.struct("anchor", "digest", F.col("at_first").alias("first"), "windows")).alias("segments"))
+    places, kinds, several = _grouped(rows, length, gram, group)
+    sought = kinds.join(several.select("anchor"), "anchor").groupBy(F.col("at_doc").alias("doc"), F.col("at_version").alias("version")).agg(F.collect_list(F.struct("anchor", "digest", F.col("at_first").alias("first"), "windows")).alias("segments"))
     bytes_of = _with_bytes(rows.join(sought, ["doc", "version"]).select("doc", "text", "segments"), length)
-    shards = SHARDS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = several.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    shards = max(SHARDS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     covered = keep(_sorted_shards(bytes_of.repartition(shards, "anchor"), length, in_memory, buffer), "covered-windows")
     told = kinds.join(covered, ["anchor", "digest"], "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<struct<a:int,b:int>>"))).where("n > 1 OR size(covered) > 0")
     told = keep(told.drop("windows"), "segments-told")
@@ -331,10 +415,10 @@ def _removed(rows: DataFrame, length: int, gram: int, in_memory: int, buffer: in
     return met.select("doc", "version", F.explode(spans).alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("removed"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_memory: int = IN_MEMORY, buffer: int = BUFFER) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_memory: int = IN_MEMORY, buffer: int = BUFFER, group: int = GROUP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of every row."""
     rows = _rows(docs, id_col, text_col)
-    gone = _removed(rows, length, gram, in_memory, buffer)
+    gone = _removed(rows, length, gram, in_memory, buffer, group)
     out = _cut(rows.join(gone, ["doc", "version"], "left").select("id", "text", "removed"), length, docs.schema[id_col].dataType.simpleString())
     return out.withColumnRenamed("id", id_col)
 
@@ -345,7 +429,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     Of a character that a repeated string holds in part nothing goes. Documents keep their rows even if
     nothing is left; null texts stay null. chars_col, where there, counts the new text's characters.
     """
-    gone = _removed(_rows(docs, id_col, text_col), length, gram, IN_MEMORY, BUFFER)
+    gone = _removed(_rows(docs, id_col, text_col), length, gram, IN_MEMORY, BUFFER, GROUP)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), _version(docs, id_col, text).alias("version"))

@@ -74,3 +74,23 @@ def test_empty_table_and_repeated_ids(frame):
     assert suffix_dedup.suffix_dedup(frame([])).count() == 0
     twice = suffix_dedup.suffix_dedup(frame([(1, "q" + "abcdefghij" * 5 + "klmnopqrst" * 7), (1, "q" + "abcdefghij" * 5 + "klmnopqrst" * 7)])).collect()
     assert len(twice) == 2 and twice[0].n_removed == twice[1].n_removed
+
+
+def hot_corpus():
+    """Lines of 20, 99 and 130 bytes in most documents, with different text around them."""
+    dice = random.Random(3)
+    lines = ["".join(dice.choice("abcdefgh ") for _ in range(n)) for n in (20, 99, 130)]
+    rows = []
+    for i in range(120):
+        own = ["".join(dice.choice("klmnopqrst ") for _ in range(dice.randrange(30, 200))) for _ in range(4)]
+        rows.append((i, own[0] + lines[0] + own[1] + lines[1] + own[2] + lines[2] + own[3] + (lines[2] + own[3] if i % 3 == 0 else "")))
+    return rows + [(200, rows[5][1]), (201, rows[6][1] + "x"), (202, "a" * 600), (203, "b" + "a" * 300)]
+
+
+def test_a_hot_anchor_is_split_and_results_are_the_same(frame):
+    rows = suffix_dedup._rows(frame(hot_corpus()), "doc_id", "text")
+    largest = [suffix_dedup._grouped(rows, 100, 16, group)[2].agg({"bytes": "max"}).first()[0] for group in (suffix_dedup.GROUP, 4000)]
+    assert largest[0] > 15_000 and largest[1] <= 4000
+    for group in (4000, 300):
+        got = {(r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.suffix_dedup(frame(hot_corpus()), group=group).collect()}
+        assert got == brute(hot_corpus())
