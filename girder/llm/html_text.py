@@ -6,8 +6,8 @@ article are one page here, else a much-copied article would be a template). Hash
 LEAST_PAGES such pages and LEAST_SHARE of the host's are templates. The second pass parses again and
 writes the text of the main part: the ``article`` elements, else ``main``, else the container that is named
 as content, else the body; without template subtrees, menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments. Inside an article, paragraphs, headings and list items are
-never taken for templates: what an author repeats is content.
+forms, scripts, styles and reader comments. Subtrees of the whole page are counted, and templates go inside
+articles too; only what stands in a line with other text (a bold word, a cell of a row) is no template by itself.
 
 Each block's white space becomes one space, blocks are joined by one newline in page order.
 
@@ -55,7 +55,7 @@ WORDS = frozenset(
     "login popup modal overlay widget widgets pagination pager toolbar copyright masthead topbar paywall skip".split()
 )
 CONTENT = frozenset("content article post entry story main body text".split())
-KEPT_INSIDE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody pre blockquote b i em strong a span u code br figcaption article main body html".split())
+CELLS = frozenset(["td", "th"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>|<(?=[a-zA-Z/!?])[^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z|["'])""", re.I)
@@ -64,13 +64,14 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
 class Node:
-    __slots__ = ("tag", "named", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds")
+    __slots__ = ("tag", "named", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds", "part")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.named, self.role, self.hidden = (), "", False
         self.size = self.linked = 0
         self.digest = b""
+        self.part = False  # of a line with other text
         self.holds = tag in ("article", "main")
         if attributes and not attributes.isspace():
             for name, value in ATTRIBUTE.findall(attributes):
@@ -155,9 +156,32 @@ def parse(page: str) -> Node:
                 node.holds |= x.holds and not x.dropped(False)
                 hashed.update(b"\1" + x.digest)
         node.digest = hashed.digest()
+        _mark_lines(node)
+    for node in order:
+        if node.part:
+            for x in node.items:
+                if not isinstance(x, str) and x.tag not in BLOCK:
+                    x.part = True
     return root
 
 
+def _mark_lines(node: Node) -> None:
+    """Marks the elements that stand in a line with other text."""
+    line: list[Node] = []
+    texts = 0
+    for x in [*node.items, None]:
+        if isinstance(x, str):
+            texts += not x.isspace()
+        elif x is None or x.tag == "br" or (x.tag in BLOCK and x.tag not in CELLS):
+            if texts > 1:
+                for y in line:
+                    y.part = True
+            line, texts = [], 0
+        else:
+            texts += x.size > 0
+            line.append(x)
+
+
 def main_parts(root: Node) -> tuple[list[Node], bool]:
     """The elements that hold the main text, in page order; whether they are marked as such."""
     marked: dict[str, list[Node]] = {"article": [], "main": []}
@@ -206,7 +230,7 @@ def blocks(parts: list[Node], marked: bool, templates: frozenset | set) -> list[
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif x is not part and (x.dropped(marked) or (x.digest in templates and not (marked and x.tag in KEPT_INSIDE)) or (not marked and not x.holds and _menu(x))):
+            elif x is not part and (x.dropped(marked) or (x.digest in templates and not x.part) or (not marked and not x.holds and _menu(x))):
                 if x.tag in BLOCK:
                     flush()
                 continue
@@ -221,15 +245,14 @@ def blocks(parts: list[Node], marked: bool, templates: frozenset | set) -> list[
     return out
 
 
-def subtrees(root: Node, parts: list[Node], marked: bool) -> set[bytes]:
+def subtrees(root: Node) -> set[bytes]:
     """Hashes of the subtrees that could be templates of the site."""
     found: set[bytes] = set()
-    stack = list(parts)
+    stack = [root]
     while stack:
-        node = stack.pop()
-        for x in node.items:
-            if not isinstance(x, str) and x.size and not x.dropped(marked):
-                if not (marked and x.tag in KEPT_INSIDE):
+        for x in stack.pop().items:
+            if not isinstance(x, str) and x.size:
+                if not x.part:
                     found.add(x.digest)
                 stack.append(x)
     return found
@@ -246,9 +269,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             hosts, texts, hashes = [], [], []
             for page, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
-                parts, marked = main_parts(root)
+                parts, _ = main_parts(root)
                 text = hashlib.blake2b("\n".join(blocks(parts, True, ())).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                for digest in [b"", *subtrees(root, parts, marked)]:
+                for digest in [b"", *subtrees(root)]:
                     hosts.append(at)
                     texts.append(text)
                     hashes.append(digest)

@@ -33,3 +33,11 @@ def test_templates_go_and_copied_articles_stay(spark):
     assert all(by[100 + k].text == "the same\ncopied" and by[100 + k].n_chars == 15 for k in range(10))
     assert by[200].text == "" and by[201].text == "x"
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_inside_articles_go(spark):
+    own = "<p>own <b>Note</b> words {0} of this page</p><table><tr><td>Yes</td><td>{0}</td></tr></table>"
+    page = "<body><article><h1>Title {0}</h1><p>Sign our letter</p>" + own + "<ul><li>Offer of the day<li>item {0}</ul></article></body>"
+    pages = spark.createDataFrame([(k, "https://a.example.com/", page.format(k)) for k in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in ht.extract(pages).collect()}
+    assert all(got[k] == f"Title {k}\nown Note words {k} of this page\nYes\n{k}\nitem {k}" for k in range(8))
