@@ -4,9 +4,8 @@ Two passes. The first parses each page into a tree and emits a hash of every ele
 Spark counts, for each host, on how many pages *with different main text* a hash occurs (copies of one
 article are one page here, else a much-copied article would be a template). Hashes on at least
 LEAST_PAGES such pages and LEAST_SHARE of the host's are templates. The second pass parses again and
-writes the text of the main part: the ``article`` elements, else ``main``, else the container that is named
-as content, else the body; without template subtrees, menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments. Subtrees of the whole page are counted, and templates go inside
+writes the text of the page without template subtrees, menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments; nothing else is left out, wherever it stands. Subtrees of the whole page are counted, and templates go inside
 articles too; only what stands in a line with other text (a bold word, a cell of a row) is no template by itself.
 
 Each block's white space becomes one space, blocks are joined by one newline in page order.
@@ -54,7 +53,6 @@ WORDS = frozenset(
     "ad ads adsense sponsor sponsored promo promotion share sharing social comment comments disqus respond related recommended newsletter subscribe subscription signup "
     "login popup modal overlay widget widgets pagination pager toolbar copyright masthead topbar paywall skip".split()
 )
-CONTENT = frozenset("content article post entry story main body text".split())
 CELLS = frozenset(["td", "th"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>|<(?=[a-zA-Z/!?])[^>]*\Z""", re.S)
@@ -64,13 +62,14 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
 class Node:
-    __slots__ = ("tag", "named", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds", "part")
+    __slots__ = ("tag", "named", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds", "inside", "part")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.named, self.role, self.hidden = (), "", False
         self.size = self.linked = 0
         self.digest = b""
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main") or parent.role == "main")
         self.part = False  # of a line with other text
         self.holds = tag in ("article", "main")
         if attributes and not attributes.isspace():
@@ -86,13 +85,17 @@ class Node:
                     self.hidden = True
             self.holds |= self.role == "main"
 
-    def dropped(self, inside: bool) -> bool:
-        """Whether this is never main text. inside: within an article or main element."""
-        if self.holds:
+    def dropped(self) -> bool:
+        """Whether this is never main text."""
+        if self.tag in ("article", "main") or self.role == "main":
             return any(w in ("comment", "comments") for w in self.named)
-        if self.tag in DROPPED or self.hidden or self.role in ROLES or (self.tag == "header" and not inside):
+        if self.holds:  # a form, a header or a name around the main text tells nothing of it
+            return (self.tag in DROPPED and self.tag != "form") or (self.role in ROLES and self.role != "form")
+        if self.tag in DROPPED or self.hidden or self.role in ROLES:
             return True
-        return any(w in WORDS for w in self.named) or (not inside and "header" in self.named)
+        if self.tag == "header" and not self.inside:
+            return True
+        return any(w in WORDS for w in self.named) or (not self.inside and "header" in self.named)
 
 
 def parse(page: str) -> Node:
@@ -153,7 +156,7 @@ def parse(page: str) -> Node:
             else:
                 node.size += x.size
                 node.linked += x.size if x.tag == "a" else x.linked
-                node.holds |= x.holds and not x.dropped(False)
+                node.holds |= x.holds and not x.dropped()
                 hashed.update(b"\1" + x.digest)
         node.digest = hashed.digest()
         _mark_lines(node)
@@ -182,36 +185,16 @@ def _mark_lines(node: Node) -> None:
             line.append(x)
 
 
-def main_parts(root: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the main text, in page order; whether they are marked as such."""
-    marked: dict[str, list[Node]] = {"article": [], "main": []}
-    named: list[Node] = []
-    body = root
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in marked or node.role == "main":
-            marked["article" if node.tag == "article" else "main"].append(node)
-            if node.tag == "article":
-                continue
-        elif node.tag == "body" and body is root:
-            body = node
-        elif node.tag in ("div", "section", "td") and any(w in CONTENT for w in node.named):
-            named.append(node)
-        stack.extend(x for x in reversed(node.items) if not isinstance(x, str) and not x.dropped(False))
-    for found in (marked["article"], marked["main"][:1]):
-        if any(x.size for x in found):
-            return found, True
-    if named and (best := max(named, key=lambda x: x.size)).size * 2 >= body.size:
-        return [best], False
-    return [body], False
+def main_parts(root: Node) -> tuple[list[Node]]:
+    """The elements whose text is looked at: the whole page."""
+    return ([root],)
 
 
 def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "table", "section") and node.size > 0 and node.linked > 0.7 * node.size
 
 
-def blocks(parts: list[Node], marked: bool, templates: frozenset | set) -> list[str]:
+def blocks(parts: list[Node], templates: frozenset | set) -> list[str]:
     """The text blocks of these elements."""
     out: list[str] = []
     line: list[str] = []
@@ -230,7 +213,7 @@ def blocks(parts: list[Node], marked: bool, templates: frozenset | set) -> list[
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif x is not part and (x.dropped(marked) or (x.digest in templates and not x.part) or (not marked and not x.holds and _menu(x))):
+            elif x is not part and (x.dropped() or (x.digest in templates and not x.part) or (not x.inside and not x.holds and _menu(x))):
                 if x.tag in BLOCK:
                     flush()
                 continue
@@ -269,8 +252,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             hosts, texts, hashes = [], [], []
             for page, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
-                parts, _ = main_parts(root)
-                text = hashlib.blake2b("\n".join(blocks(parts, True, ())).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                text = hashlib.blake2b("\n".join(blocks(*main_parts(root), ())).encode("utf-8", "surrogatepass"), digest_size=8).digest()
                 for digest in [b"", *subtrees(root)]:
                     hosts.append(at)
                     texts.append(text)
@@ -289,8 +271,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in small_batches(batches, 1):
             texts = []
             for page, known in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                parts, marked = main_parts(parse(page or ""))
-                texts.append("\n".join(blocks(parts, marked, set(map(bytes, known or ())))))
+                texts.append("\n".join(blocks(*main_parts(parse(page or "")), set(map(bytes, known or ())))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     both = rows.join(templates.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left").select("id", "html", "url", "templates")

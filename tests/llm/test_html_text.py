@@ -41,3 +41,12 @@ def test_templates_inside_articles_go(spark):
     pages = spark.createDataFrame([(k, "https://a.example.com/", page.format(k)) for k in range(8)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in ht.extract(pages).collect()}
     assert all(got[k] == f"Title {k}\nown Note words {k} of this page\nYes\n{k}\nitem {k}" for k in range(8))
+
+
+def test_nothing_else_is_lost():
+    assert text("<body><article class='card'>teaser</article><div class='content'>a long text</div></body>") == "teaser\na long text"
+    assert text("<body><aside><article>teaser</article></aside><div>the text</div></body>") == "the text"
+    assert text("<main><h1>head</h1><article>one</article><p>end</p></main>") == "head\none\nend"
+    assert text("<main>a</main><div role=main>b</div><main>c</main>") == "a\nb\nc"
+    assert text("<div class='content'>first part</div><div class='content'>second</div>") == "first part\nsecond"
+    assert text("<form><article>kept</article></form><div class='with-nav'><main>too</main></div>") == "kept\ntoo"
