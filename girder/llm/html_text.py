@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import keep, small_batches
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: A subtree with a boilerplate name goes if it has so few characters, so little of the page's text or so much of its own in links.
+SMALL, SMALL_SHARE, LINKED_SHARE = 200, 0.25, 0.5
 
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +47,7 @@ ENDED_BY = {
 #: Those end only inside the nearest of these.
 SCOPE = frozenset("ul ol dl table select body html article section div main".split())
 
-# What is never main text: elements, roles, and words in class or id.
+# What is never main text: elements, roles, and names: a class or id of WORDS, with PLAIN words at most.
 DROPPED = frozenset("script style noscript template iframe object svg canvas form nav aside footer button select textarea input dialog menu head title embed audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
@@ -53,6 +55,7 @@ WORDS = frozenset(
     "ad ads adsense sponsor sponsored promo promotion share sharing social comment comments disqus respond related recommended newsletter subscribe subscription signup "
     "login popup modal overlay widget widgets pagination pager toolbar copyright masthead topbar paywall skip".split()
 )
+PLAIN = frozenset("box block bar wrapper container inner outer list item items links posts articles area section panel site page top bottom main global".split())
 CELLS = frozenset(["td", "th"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>|<(?=[a-zA-Z/!?])[^>]*\Z""", re.S)
@@ -62,11 +65,11 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
 class Node:
-    __slots__ = ("tag", "named", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds", "inside", "part")
+    __slots__ = ("tag", "named", "names", "role", "hidden", "parent", "items", "size", "linked", "digest", "holds", "inside", "part")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
-        self.named, self.role, self.hidden = (), "", False
+        self.named, self.names, self.role, self.hidden = (), (), "", False
         self.size = self.linked = 0
         self.digest = b""
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main") or parent.role == "main")
@@ -76,6 +79,7 @@ class Node:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
+                    self.names = (*self.names, *value.split())
                     self.named = (*self.named, *(w.lower() for w in SPLIT.split(value) if w))
                 elif name == "role":
                     self.role = value.lower()
@@ -85,17 +89,32 @@ class Node:
                     self.hidden = True
             self.holds |= self.role == "main"
 
-    def dropped(self) -> bool:
-        """Whether this is never main text."""
+    def dropped(self, total: int) -> bool:
+        """Whether this is never main text. total: of the page's text."""
+        if self.tag in ("html", "body"):
+            return False
         if self.tag in ("article", "main") or self.role == "main":
-            return any(w in ("comment", "comments") for w in self.named)
+            return self.named_as(("comment", "comments")) and self.minor(total)
         if self.holds:  # a form, a header or a name around the main text tells nothing of it
             return (self.tag in DROPPED and self.tag != "form") or (self.role in ROLES and self.role != "form")
         if self.tag in DROPPED or self.hidden or self.role in ROLES:
             return True
         if self.tag == "header" and not self.inside:
             return True
-        return any(w in WORDS for w in self.named) or (not self.inside and "header" in self.named)
+        return (self.named_as(WORDS) or (not self.inside and self.named_as(("header",)))) and self.minor(total)
+
+    def named_as(self, words) -> bool:
+        """Whether a whole class or id consists of these words, and plain ones."""
+        if not any(w in words for w in self.named):
+            return False
+        for name in self.names:
+            parts = [w.lower() for w in SPLIT.split(name) if w]
+            if any(w in words for w in parts) and all(w in words or w in PLAIN or w.isdigit() for w in parts):
+                return True
+        return False
+
+    def minor(self, total: int) -> bool:
+        return self.size <= SMALL or self.size <= SMALL_SHARE * total or self.linked > LINKED_SHARE * self.size
 
 
 def parse(page: str) -> Node:
@@ -156,10 +175,12 @@ def parse(page: str) -> Node:
             else:
                 node.size += x.size
                 node.linked += x.size if x.tag == "a" else x.linked
-                node.holds |= x.holds and not x.dropped()
                 hashed.update(b"\1" + x.digest)
         node.digest = hashed.digest()
         _mark_lines(node)
+    for node in reversed(order):
+        if node.holds and node.parent is not None and not node.dropped(root.size):
+            node.parent.holds = True
     for node in order:
         if node.part:
             for x in node.items:
@@ -205,6 +226,7 @@ def blocks(parts: list[Node], templates: frozenset | set) -> list[str]:
                 out.append(words)
             line.clear()
 
+    total = sum(x.size for x in parts)
     for part in parts:
         stack: list = [part]
         while stack:
@@ -213,7 +235,7 @@ def blocks(parts: list[Node], templates: frozenset | set) -> list[str]:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif x is not part and (x.dropped() or (x.digest in templates and not x.part) or (not x.inside and not x.holds and _menu(x))):
+            elif x is not part and (x.dropped(total) or (x.digest in templates and not x.part) or (not x.inside and not x.holds and _menu(x))):
                 if x.tag in BLOCK:
                     flush()
                 continue

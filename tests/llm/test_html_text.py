@@ -50,3 +50,13 @@ def test_nothing_else_is_lost():
     assert text("<main>a</main><div role=main>b</div><main>c</main>") == "a\nb\nc"
     assert text("<div class='content'>first part</div><div class='content'>second</div>") == "first part\nsecond"
     assert text("<form><article>kept</article></form><div class='with-nav'><main>too</main></div>") == "kept\ntoo"
+
+
+def test_names_alone_drop_no_large_part():
+    for name in ("has-sidebar", "no-sidebar", "right-rail", "comments-open", "sidebar"):
+        assert text(f"<body class='{name}'><p>some text</p></body>") == "some text"
+    for tag, name in (("div", "share-price"), ("p", "alert-level"), ("section", "related-work")):
+        assert text(f"<article><p>a</p><{tag} class='{name}'>kept</{tag}></article>") == "a\nkept"
+    long = "words of the text " * 30
+    assert text(f"<div class='widget'>{long}</div>") == long.strip()
+    assert text(f"<p>{long}</p><div class='widget'>short</div><div class='sidebar'>{'<a>link to it</a> ' * 40}</div>") == long.strip()
