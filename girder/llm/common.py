@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,75 +37,101 @@ def scratch_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         told = known.get() if known.isDefined() else None
     if not told:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         told = tempfile.mkdtemp(prefix="girder-")
         sc.setCheckpointDir(told)
     return told.rstrip("/")
 
 
-class _Scratch:
-    """Folders that go when nothing refers to this object any more, at the application's end at the latest."""
+class _Scopes(threading.local):
+    """The folders that each open scoped call of this thread has written, innermost last."""
 
     def __init__(self):
-        self.paths: list[tuple] = []
+        self.open: list[list[tuple]] = []
 
-    def __del__(self):
-        for system, where in self.paths:
-            with contextlib.suppress(Exception):  # the session may have ended
-                system.delete(where, True)
 
-
-_open: list[_Scratch] = []
-_latest: list[_Scratch] = []
+_scopes = _Scopes()
+_settings_lock = threading.Lock()
+_settings_before: list[dict] = []
 
 
 def scoped(f):
-    """What f keep()s lives as long as the DataFrame that it returns, and until the next outermost call at least.
-
-    The latter is for DataFrames that are made from the result and outlive it.
-    """
+    """Notes what f keep()s with the DataFrame that it returns, for release(). Nothing is deleted without that call
+    before the application ends, so whatever is made from the result can be read as long as the application runs."""
 
     @functools.wraps(f)
     def run(*args, **kwargs):
-        if not _open:
-            _latest.clear()
-        _open.append(_Scratch())
+        mine: list[tuple] = []
+        _scopes.open.append(mine)
         try:
             out = f(*args, **kwargs)
-            out._scratch = _open[-1]
-            if len(_open) == 1:
-                _latest.append(_open[-1])
+            out._scratch = mine
             return out
         finally:
-            _open.pop()
+            _scopes.open.pop()
+            if _scopes.open:
+                _scopes.open[-1].extend(mine)
 
     return run
 
 
+def release(result: DataFrame) -> None:
+    """Delete the tables behind the result of a scoped function; it and what is made from it cannot be read any more."""
+    _delete(getattr(result, "_scratch", []))
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that keep() has returned; nothing that reads them may be evaluated any more."""
+    for df in kept:
+        _delete(df._kept)
+
+
+def _delete(paths: list[tuple]) -> None:
+    while paths:
+        system, where = paths.pop()
+        system.delete(where, True)
+
+
+@contextlib.contextmanager
+def _write_settings(spark: SparkSession):
+    """Shuffle files of a query go once its result is written, and batches of texts for Python stay small; restored
+    when the last of several writing threads is done."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    with _settings_lock:
+        _settings_before.append({} if _settings_before else {k: spark.conf.get(k, None) for k in settings})
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _settings_lock:
+            before = _settings_before.pop()
+            if _settings_before:
+                _settings_before[0] = _settings_before[0] or before
+            else:
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The folder goes when the application ends, or with the result of the scoped function it is made in.
+    The folder goes when the application ends, or by discard() or release().
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/girder/{name}-{uuid.uuid4().hex}"
-    # what the query has shuffled is of no use once its result is written
-    # batches of texts for Python stay small
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with _write_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.deleteOnExit(where)
-    if _open:
-        _open[-1].paths.append((system, where))
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes.open:
+        _scopes.open[-1].append((system, where))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = [(system, where)]
+    return out
 
 
 def give_back() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,19 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round passes labels along the edges in both directions and then replaces every label by its own
     label, so that chains shrink by halves. Edges may repeat and may be loops; nulls are left out. Tables
-    of every round are written to the shared folder. Nothing but the count of changes reaches the driver.
+    of every round are written to the shared folder. Only whether labels have changed reaches the driver.
     """
     pairs = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     both = keep(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "edges")
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         told = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label")
-        heard = told.unionAll(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
-        heard = keep(heard, "labels-heard")
+        heard = keep(told.unionAll(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label")), "labels-heard")
         jump = heard.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        after = heard.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "further").alias("label"))
-        after = keep(after, "labels")
-        changed = after.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before").limit(1).count()
-        labels = after
-        if not changed:
+        before, labels = labels, keep(heard.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "further").alias("label")), "labels")
+        settled = labels.join(before.withColumnRenamed("label", "before"), "node").where("label <> before").isEmpty()
+        discard(heard, before)
+        if settled:
+            discard(both)
             return labels

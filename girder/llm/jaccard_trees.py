@@ -4,21 +4,28 @@ A document is the set of hashes of its word shingles. Equal sets are one set fro
 
 Which sets can be alike at all is found without comparing them. Sets of sizes a <= b with Jaccard
 similarity of t or more differ in at most D = (1-t)/(1+t) (a+b) members. If the space of hashes is cut
-into more than D ranges, the two agree completely in one at least. So every set emits, for each range, a
+into more than D ranges, the two agree completely in one at least. So every class emits, for each range, a
 hash of what it has there; only sets that meet in such a key can be linked. Ranges are a few more than
 D + 1, so that ranges with few members, in which unlike sets agree by chance, may be left out: a set
 that has more of these than the surplus emits them all. Nothing is lost, whatever the data.
 
-Sets that meet directly or through others form a candidate group. Within a group, signature trees over
-blocks of sets are joined: a node holds the OR of its sets' token bitmaps, their range of sizes, and the most
-tokens that a set has beyond its bits; a traversal of two trees leaves out pairs of nodes whose largest
-possible overlap is too small. Pairs of sets that survive are compared exactly, unless they are connected
-already. Large groups are cut into blocks by size and hash, and pairs of blocks are separate tasks.
+Signature trees join sets that may meet: a node holds the OR of its sets' token bitmaps, their range of sizes, and the
+most tokens that a set has beyond its bits; a traversal of two trees leaves out pairs of nodes whose largest possible
+overlap is too small. Pairs of sets that survive are compared exactly. There are two rounds:
+
+1. Every set goes to the smallest set that it shares a key with (its hub), in chunks of the hub's sets; trees join each
+   chunk with itself and with the hub. That is linear in the number of sets, and connects large groups of near copies.
+2. A key whose sets are all connected by now has no more to tell. Sets in other keys form groups (what is connected
+   counts as one node), and trees join all sets of a group but for pairs that are connected already. Large groups are
+   cut into blocks by size and hash, and pairs of blocks are separate tasks.
+
+jaccard_components() gives the components, jaccard_links() every link between different sets.
 
 Words are runs of other bytes than space and \\t to \\r, A-Z lower-cased. A document with fewer words than a
 shingle is one shingle of them all; with none it has the empty set and no links. Null text is empty. Rows
-that repeat an id are documents each; the class is the smallest id. Null ids are left out. Shingles are
-64-bit hashes, sets are told apart by 128 bits. Empty tables give empty results; other columns are not read.
+that repeat an id are documents each; so are rows without an id, which name no component while there is another id
+in it. Shingles are 64-bit hashes, sets are told apart by 128 bits, and links name them by 64 of these. Empty tables
+give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, keep, small_batches
+from .common import discard, give_back, keep, small_batches
 from .graph import components
 
 SPACE = np.zeros(256, bool)
@@ -40,7 +47,8 @@ SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
+CHUNK_SETS, CHUNK_BYTES = 256, 4 << 20  # of a hub's sets that are joined in one task
+BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20  # of a group's sets
 LEAF, FAN, BIT_WORDS = 8, 8, 64
 
 
@@ -166,34 +174,42 @@ def _digest(members: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _sets(docs: DataFrame, measure: Measure, id_col: str, text_col: str, part: int | None, parts: int, with_members: bool = False) -> DataFrame:
-    """id, n, low, high, and either the keys of one part of the key space or the members."""
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, mark (of the text, to find the row again) and text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
+
+
+def _sets(source: DataFrame, measure: Measure, part: int, parts: int) -> DataFrame:
+    """id, mark, n, low, high, and the keys of one part of the key space."""
 
     def run(batches):
         give_back()
-        for batch in small_batches(batches, 1, 1 << 20):
-            sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()], measure.width)
+        for batch in small_batches(batches, 2, 1 << 20):
+            sets = shingle_sets([x or b"" for x in batch.column(2).to_pylist()], measure.width)
             digest = [_digest(s) for s in sets]
-            if with_members:
-                last = pa.array([s.tobytes() for s in sets], pa.binary())
-            else:
-                keys = [measure.keys(s) for s in sets]
-                last = pa.array([k if parts == 1 else k[k % parts == part] for k in keys], pa.list_(pa.int64()))
+            keys = [measure.keys(s) for s in sets]
+            last = pa.array([k if parts == 1 else k[k % parts == part] for k in keys], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), last],
-                ["id", "n", "low", "high", "members" if with_members else "keys"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), last],
+                ["id", "mark", "n", "low", "high", "keys"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id long, n long, low long, high long, " + ("members binary" if with_members else "keys array<long>"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark long, n long, low long, high long, keys array<long>")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Edges between sets that share a key: of each key, from its smallest set to every other."""
-    keyed = rows.select("low", F.explode("keys").alias("key"))
+def _met(source: DataFrame, measure: Measure, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents, without keys; low, key, a for every class and key of this part that another class has
+    too, a being the smallest of them."""
+    sets = keep(_sets(source, measure, part, parts), "shingle-sets")
+    one = keep(sets.where("n > 0").groupBy("low", "high").agg(F.first("keys").alias("keys")), "keys-of-classes")
+    slim = keep(sets.select("id", "mark", "n", "low", "high"), "sets")
+    discard(sets)
+    keyed = one.select("low", F.explode("keys").alias("key"))
     shared = keep(keyed.groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("key", "a"), "shared-keys")
-    met = keyed.join(shared, "key").where("low <> a").select("a", F.col("low").alias("b"))
-    return keep(met.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "candidate-edges")
+    met = keep(keyed.join(shared, "key").select("low", "key", "a"), "meetings")
+    discard(one, shared)
+    return slim, met
 
 
 class Tree:
@@ -219,7 +235,8 @@ class Tree:
 
 
 def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same: bool) -> None:
-    """Calls link(i, j) for linked sets of the two trees, leaving out pairs that connected(i, j) tells of."""
+    """Calls link(i, j) for linked sets of the two trees, leaving out pairs that connected(i, j) tells of: of two
+    numbers or of two arrays of them."""
     depth = max(len(left.levels), len(right.levels)) - 1
     pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64))
     for level in range(depth, -1, -1):
@@ -237,12 +254,14 @@ def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same:
             kept.append((x[good], y[good]))
         i, j = (np.concatenate([k[c] for k in kept]) if kept else np.zeros(0, np.int64) for c in (0, 1))
         if level == 0:
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if not connected(x, y):
-                    s, t = left.sets[x], right.sets[y]
-                    overlap = len(np.intersect1d(s, t, assume_unique=True))
-                    if measure.linked(overlap, len(s), len(t)):
-                        link(x, y)
+            for start in range(0, len(i), 1 << 12):
+                open_ = connected(i[start : start + (1 << 12)], j[start : start + (1 << 12)])
+                for x, y in zip(i[start : start + (1 << 12)][~open_].tolist(), j[start : start + (1 << 12)][~open_].tolist(), strict=True):
+                    if not connected(x, y):
+                        p, q = left.sets[x], right.sets[y]
+                        overlap = len(np.intersect1d(p, q, assume_unique=True))
+                        if measure.linked(overlap, len(p), len(q)):
+                            link(x, y)
             return
         down1 = left.fan(a) if a == level else 1
         down2 = right.fan(b) if b == level else 1
@@ -255,58 +274,96 @@ def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same:
         pairs = (x[fine], y[fine])
 
 
-def _forest(ids: list[int], members: list[bytes], side: list[int], measure: Measure) -> list[tuple[int, int]]:
-    """Links that connect what is linked among these sets, or between the two sides of them."""
-    parent = list(range(len(ids)))
+def _joined(names: list[int], members: list[bytes], side: list[int], known: list[int], measure: Measure, pairs: list[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
+    """Links (as pairs of names) between sets of the given pairs of sides; without ``every`` only such as connect what
+    is not connected yet. known: sets with equal numbers are connected from the start."""
+    parent = np.unique(np.array(known, np.int64), return_index=True, return_inverse=True)
+    parent = parent[1][parent[2]].astype(np.int64)
 
     def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = parent[parent[x]]
-            x = parent[x]
+            x = int(parent[x])
         return x
 
     sets = [np.frombuffer(m, np.uint64) for m in members]
-    order = sorted(range(len(ids)), key=lambda k: (side[k], int(sets[k][0]) if len(sets[k]) else 0, len(sets[k])))
-    one, two = [k for k in order if side[k] == 0], [k for k in order if side[k] == 1]
+    order = sorted(range(len(names)), key=lambda k: (int(sets[k][0]) if len(sets[k]) else 0, len(sets[k]), names[k]))
+    sides: dict[int, list[int]] = {}
+    for k in order:
+        sides.setdefault(side[k], []).append(k)
+    trees = {k: Tree([sets[x] for x in own]) for k, own in sides.items()}
     found: list[tuple[int, int]] = []
+    for one, two in pairs:
+        if one not in sides or two not in sides:
+            continue
+        a, b = np.array(sides[one]), np.array(sides[two])
 
-    def both(a: list[int], b: list[int], same: bool) -> None:
-        if not a or not b:
-            return
-        left = Tree([sets[k] for k in a])
-        right = left if same else Tree([sets[k] for k in b])
-
-        def link(x: int, y: int) -> None:
-            found.append((ids[a[x]], ids[b[y]]))
+        def link(x: int, y: int, a=a, b=b) -> None:
+            found.append((names[a[x]], names[b[y]]))
             parent[find(a[x])] = find(b[y])
 
-        join_trees(left, right, measure, link, lambda x, y: find(a[x]) == find(b[y]), same)
+        def connected(x, y, a=a, b=b):
+            if isinstance(x, int):
+                return names[a[x]] == names[b[y]] or not every and find(a[x]) == find(b[y])
+            return np.zeros(len(x), bool) if every else parent[parent[a[x]]] == parent[parent[b[y]]]
 
-    if two:
-        both(one, two, False)
-    else:
-        both(one, one, True)
+        join_trees(trees[one], trees[two], measure, link, connected, one == two)
     return found
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
-    """id, n_shingles, component_id: the smallest id reachable by links num/den or more.
+def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tuple[int, int]], every: bool) -> DataFrame:
+    """a, b: links found by the tasks. dealt: id, mark, low, high, known, tasks (array of grp, task, side) of sets; the
+    pairs of sides are joined in every task."""
+    marked = dealt.withColumnRenamed("id", "its_id").withColumnRenamed("mark", "its_mark")
+    wanted = source.join(marked, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))).select("text", "low", "high", "known", "tasks")
 
-    parts: rounds in which the key space is gone through; each round holds 1/parts of the keys on disk.
-    """
-    measure = Measure(width, num, den)
-    first = keep(_sets(docs, measure, id_col, text_col, 0, parts), "shingle-sets")
-    edges = _candidates(first.where("n > 0"))
-    for part in range(1, parts):
-        edges = edges.unionAll(_candidates(keep(_sets(docs, measure, id_col, text_col, part, parts), "shingle-sets").where("n > 0")))
-    groups = components(edges)
+    def run(batches):
+        give_back()
+        for batch in small_batches(batches, 0, 1 << 20):
+            sets = shingle_sets([x or b"" for x in batch.column(0).to_pylist()], measure.width)
+            out, held = [], 0
+            for s, low, high, known, tasks in zip(sets, *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                # the mark of a text is 64 bits: rows that only share it are not the set that is meant
+                for t in tasks if _digest(s) == (low, high) else ():
+                    out.append((t["grp"], t["task"], t["side"], low, known, s.tobytes()))
+                    held += 8 * len(s)
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), TASK, strict=True)], names=list(TASK_NAMES))
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), TASK, strict=True)], names=list(TASK_NAMES))
+
+    def join(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("low")
+        found = _joined(pdf["low"].tolist(), pdf["members"].tolist(), pdf["side"].tolist(), pdf["known"].tolist(), measure, pairs, every)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    # one document stands for each set
-    classes = keep(first.groupBy("low", "high").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "set-classes")
-    active = classes.join(groups, F.col("low") == F.col("node")).select(F.col("class_id").alias("id"), "n", "label", F.col("low").alias("sort"))
-    active = keep(active, "active-sets")
+    work = wanted.mapInArrow(run, "grp long, task string, side int, low long, known long, members binary")
+    return work.groupBy("grp", "task").applyInPandas(join, "a long, b long")
+
+
+TASK_NAMES = ("grp", "task", "side", "low", "known", "members")
+TASK = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _around_hubs(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """The tasks of the first round: chunks of the sets around each hub (side 1), and the hub in every chunk (side 0)."""
+    spokes = met.groupBy("low").agg(F.min("a").alias("hub")).where("hub <> low").join(classes.select("low", "n"), "low")
+    spokes = keep(spokes, "spokes")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum(8 * F.col("n")) / CHUNK_BYTES)).cast("int")
+    hubs = keep(spokes.groupBy("hub").agg(chunks.alias("chunks")), "hubs")
+    own = spokes.join(hubs, "hub").select("low", F.array(F.struct(F.col("hub").alias("grp"), F.pmod(F.xxhash64("low"), F.col("chunks")).cast("string").alias("task"), F.lit(1).alias("side"))).alias("tasks"))
+    all_of_them = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.col("hub").alias("grp"), k.cast("string").alias("task"), F.lit(0).alias("side")))
+    dealt = own.unionAll(hubs.select(F.col("hub").alias("low"), all_of_them.alias("tasks"))).groupBy("low").agg(F.flatten(F.collect_list("tasks")).alias("tasks"))
+    return dealt.join(classes, "low").select("id", "mark", "low", "high", F.col("low").alias("known"), "tasks")
+
+
+def _in_blocks(classes: DataFrame, active: DataFrame, measure: Measure) -> DataFrame:
+    """The tasks of the second round. active: low, known, label (its group)."""
     band = sum((F.when(F.col("n") >= int(x), 1).otherwise(0) for x in measure.bands[1:90]), F.lit(0))
-    sized = active.withColumn("band", band)
+    sized = keep(active.join(classes, "low").withColumn("band", band), "active-sets")
     whole = sized.groupBy("label").agg(F.count(F.lit(1)).alias("all_sets"), F.sum(8 * F.col("n")).alias("all_bytes"))
     each = sized.groupBy("label", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum(8 * F.col("n")).alias("bytes"))
     cut = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -314,44 +371,102 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     plan = each.join(whole, "label").select("label", "band", small.alias("small"), cut.alias("blocks"))
     nxt = plan.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next_blocks"))
     before = plan.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("before_blocks"))
-    plan = plan.join(nxt, ["label", "band"], "left").join(before, ["label", "band"], "left")
-    placed = sized.join(plan, ["label", "band"])
-    mine = F.pmod(F.xxhash64("sort"), F.col("blocks")).cast("int")
-    # tasks of a cut group: a block with itself, with later blocks of its band, with all blocks of the next band
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.concat_ws("-", F.col("band"), F.least(F.col("mine"), k), F.greatest(F.col("mine"), k)).alias("task"), (k < F.col("mine")).cast("int").alias("side")))
-    following = F.transform(F.sequence(F.lit(0), F.col("next_blocks") - 1), lambda k: F.struct(F.concat_ws("-", F.col("band"), F.lit("n"), F.col("mine"), k).alias("task"), F.lit(0).alias("side")))
-    preceding = F.transform(F.sequence(F.lit(0), F.col("before_blocks") - 1), lambda k: F.struct(F.concat_ws("-", F.col("band") - 1, F.lit("n"), k, F.col("mine")).alias("task"), F.lit(1).alias("side")))
-    none = F.array().cast("array<struct<task:string,side:int>>")
-    tasks = F.when(F.col("small"), F.array(F.struct(F.lit("all").alias("task"), F.lit(0).alias("side")))).otherwise(F.concat(own, F.coalesce(following, none), F.coalesce(preceding, none)))
-    dealt = placed.withColumn("mine", mine).select("id", "label", F.explode(tasks).alias("t")).select("id", "label", "t.task", "t.side")
-
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(active.select("id"), "id", "left_semi")
-    members = _sets(wanted, measure, "id", "text", None, 1, True)
-    work = members.select("id", "members").join(dealt, "id")
-
-    def verify(key, pdf):
-        found = _forest(pdf["id"].tolist(), pdf["members"].tolist(), pdf["side"].tolist(), measure)
-        import pandas as pd
+    plan = keep(plan.join(nxt, ["label", "band"], "left").join(before, ["label", "band"], "left"), "plan-of-blocks")
+    placed = sized.join(plan, ["label", "band"]).withColumn("mine", F.pmod(F.xxhash64("low"), F.col("blocks")).cast("int"))
+    # tasks of a cut group: a block with itself, with the other blocks of its band, with all blocks of the next band
+    grp = F.col("label").alias("grp")
+    own = F.array(F.struct(grp, F.concat_ws("-", F.col("band"), F.col("mine")).alias("task"), F.lit(2).alias("side")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("mine"))
+    across = F.transform(others, lambda k: F.struct(grp, F.concat_ws("-", F.col("band"), F.least(F.col("mine"), k), F.greatest(F.col("mine"), k)).alias("task"), (k < F.col("mine")).cast("int").alias("side")))
+    following = F.transform(F.sequence(F.lit(0), F.col("next_blocks") - 1), lambda k: F.struct(grp, F.concat_ws("-", F.col("band"), F.lit("n"), F.col("mine"), k).alias("task"), F.lit(0).alias("side")))
+    preceding = F.transform(F.sequence(F.lit(0), F.col("before_blocks") - 1), lambda k: F.struct(grp, F.concat_ws("-", F.col("band") - 1, F.lit("n"), k, F.col("mine")).alias("task"), F.lit(1).alias("side")))
+    none = F.array().cast("array<struct<grp:bigint,task:string,side:int>>")
+    tasks = F.when(F.col("small"), F.array(F.struct(grp, F.lit("all").alias("task"), F.lit(2).alias("side")))).otherwise(F.concat(own, across, F.coalesce(following, none), F.coalesce(preceding, none)))
+    return placed.select("id", "mark", "low", "high", "known", tasks.alias("tasks"))
+
+
+def _prepared(docs: DataFrame, measure: Measure, id_col: str, text_col: str, parts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The source with each document once, the sets of documents, one row for each class, and where classes meet."""
+    source = _source(docs, id_col, text_col)
+    sets, met = _met(source, measure, 0, parts)
+    for part in range(1, parts):
+        again, more = _met(source, measure, part, parts)
+        discard(again)
+        both = met.unionAll(more)
+        both._kept = met._kept + more._kept
+        met = both
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
+    classes = sets.groupBy("low", "high").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = keep(classes.select("low", "high", "first.id", "first.mark", "copies", "n"), "set-classes")
+    if not sets.groupBy("id", "mark").count().where("count > 1").isEmpty():
+        source = source.groupBy("id", "mark").agg(F.first("text").alias("text"))
+    return source, sets, classes, met
+
+
+def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of documents, and of each class (l, h) the number of documents and the first document that links reach,
+    by id, those without one last: struct first(none, id, mark)."""
+    source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
+    links = keep(_tasks(source, _around_hubs(classes, met), measure, [(0, 1), (1, 1)], False), "links")
+    near = components(links)
+    known = F.coalesce("label", "low").alias("known")
+    # keys of sets that are not connected yet
+    told = met.select("low", "key").join(near, F.col("low") == F.col("node"), "left").select("low", "key", known)
+    open_keys = keep(told.groupBy("key").agg(F.min("known").alias("a"), F.max("known").alias("z")).where("a <> z").select("key", "a"), "open-keys")
+    open_sets = keep(told.join(open_keys, "key").select("low", "known", "a").distinct(), "open-sets")
+    discard(met, open_keys)
+    groups = components(open_sets.select("known", "a").distinct().select("a", F.col("known").alias("b")))
+    active = open_sets.select("low", "known").distinct().join(groups, F.col("known") == F.col("node")).select("low", "known", "label")
+    more = keep(_tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], False), "links")
+    joined = components(links.unionAll(more))
+    reached = classes.join(joined, F.col("low") == F.col("node"), "left").withColumn("label", F.coalesce("label", "low"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
+    answer = reached.join(reached.groupBy("label").agg(first), "label").select(F.col("low").alias("l"), F.col("high").alias("h"), "copies", "first")
+    return sets, keep(answer, "set-components")
 
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    links = keep(work.groupBy("label", "task").applyInPandas(verify, "a long, b long"), "links")
-    joined = components(links)
-    answer = classes.join(joined, F.col("class_id") == F.col("node"), "left").select(F.col("low").alias("l"), F.col("high").alias("h"), "copies", F.coalesce("label", "class_id").alias("component_id"))
-    return _per_document(first, keep(answer, "set-components")).withColumnRenamed("id", id_col)
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+    """id, n_shingles, component_id: the smallest id reachable by links num/den or more.
+
+    parts: rounds in which the key space is gone through; each round holds 1/parts of the keys on disk.
+    """
+    told = _per_document(*_components(docs, Measure(width, num, den), id_col, text_col, parts))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id"))
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+    """The documents with all their columns without those that links connect to one of smaller id (any id is smaller
+    than none). Documents without words stay, and so do rows that repeat id and text of one that stays."""
+    told = _per_document(*_components(docs, Measure(width, num, den), id_col, text_col, parts))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    gone = told.where((F.col("n") > 0) & ~stays).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    gone = keep(gone, "near-copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("mark"))
+    return keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")
+
+
+def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of every two linked classes of equal sets, a < b; and id, class, n_shingles, n_links (of other classes) of
+    every document. One round, in which no pair is left out for being connected."""
+    measure = Measure(width, num, den)
+    source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
+    groups = components(met.select("a", F.col("low").alias("b")).distinct())
+    active = groups.select(F.col("node").alias("low"), F.col("node").alias("known"), "label")
+    found = _tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], True)
+    links = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    counts = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    members = sets.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("low")).alias("class"), F.col("n").alias("n_shingles")).join(counts, "class", "left")
+    return links, members.select(id_col, "class", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _per_document(rows: DataFrame, answer: DataFrame) -> DataFrame:
-    """Every document with its set's component; sets of very many documents are broadcast."""
+    """The sets of documents with their class's first; sets of very many documents are broadcast."""
     total = answer.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     least = max(1000, total // 1000)  # fewer than 1000 sets can have more
-    hot = answer.where(F.col("copies") > least).select("l", "h", F.col("component_id").alias("hot_id"))
-    rest = answer.where(F.col("copies") <= least)
-    first = rows.select("id", "n", "low", "high").join(F.broadcast(hot), (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")), "left").drop("l", "h")
-    first = first.withColumn("at", F.when(F.col("hot_id").isNull(), F.col("low")).otherwise(F.xxhash64("id")))
-    both = first.join(rest, (F.col("at") == F.col("l")) & (F.col("high") == F.col("h")) & F.col("hot_id").isNull(), "left")
-    alone = F.col("n") == 0
-    return both.select("id", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.coalesce("hot_id", "component_id")).alias("component_id"))
-
-
-
+    same = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))
+    hot = F.broadcast(answer.where(F.col("copies") > least).drop("copies"))
+    rest = answer.where(F.col("copies") <= least).drop("copies")
+    found = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(rest, same))
+    return found.select("id", "mark", "n", "first")

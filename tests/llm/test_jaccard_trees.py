@@ -52,6 +52,7 @@ def test_components(frame, width, num, den, parts):
 
 def test_groups_cut_into_blocks(frame, monkeypatch):
     monkeypatch.setattr(jt, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jt, "CHUNK_SETS", 2)
     rows = corpus(11)
     assert {tuple(r) for r in jt.jaccard_components(frame(rows)).collect()} == brute(rows, 3, 90, 100)
 
@@ -74,4 +75,40 @@ def test_no_link_is_lost_by_ranges():
 
 def test_empty_table(frame):
     assert jt.jaccard_components(frame([])).count() == 0
-    assert jt.jaccard_components(frame([(None, "a b c")])).count() == 0
+    assert [tuple(r) for r in jt.jaccard_components(frame([(None, "a b c")])).collect()] == [(None, 1, None)]
+
+
+def test_rows_without_id_and_repeated_ids(frame):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, long), (None, long), (7, long + " x"), (7, "quite another text"), (None, "alone here now"), (7, long + " x"), (3, "quite  another text")]
+    got = sorted(jt.jaccard_components(frame(rows)).collect(), key=repr)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, 98, 7), (None, 98, 7), (7, 99, 7), (7, 99, 7), (7, 1, 3), (3, 1, 3), (None, 1, None)]))
+    left = sorted((r.doc_id, r.text) for r in jt.drop_near(frame(rows), 3, 90, 100).collect() if r.doc_id is not None)
+    assert left == [(3, "quite  another text"), (7, long + " x"), (7, long + " x")]
+
+
+def test_large_groups(frame):
+    """A group of many near copies of one text, and as many copies of another, are one component each."""
+    dice = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:p] + [f"x{k}"] + base[p + 1 :])) for k in range(1500) for p in [dice.randrange(120)]]
+    rows += [(k, "the same words in every one") for k in range(5000, 9000)]
+    got = {tuple(r) for r in jt.jaccard_components(frame(rows)).collect()}
+    assert got == brute(rows[:1], 3, 90, 100) | {(k, len({tuple(t.split()[i : i + 3]) for i in range(118)}), 0) for k, t in rows[1:1500]} | {(k, 4, 5000) for k in range(5000, 9000)}
+
+
+def test_all_links(frame, monkeypatch):
+    monkeypatch.setattr(jt, "BLOCK_SETS", 3)
+    rows = corpus(3)
+    links, members = jt.jaccard_links(frame(rows), 3, 70, 100)
+    member = {r.doc_id: r for r in members.collect()}
+    sets = {i: frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset() for i, t in rows for w in [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]}
+    want = set()
+    for i, s in sets.items():
+        others = set()
+        for j, t in sets.items():
+            if s and t and s != t and 100 * len(s & t) >= 70 * len(s | t):
+                others.add(member[j]["class"])
+                want.add(tuple(sorted((member[i]["class"], member[j]["class"]))))
+        assert member[i].n_links == len(others) and member[i].n_shingles == len(s)
+    assert {tuple(r) for r in links.collect()} == want

@@ -35,3 +35,8 @@ def test_stages(spark, tmp_path):
     assert passage in texts[10] and passage not in texts[20] and texts[20].endswith(rows[20][1][-300:]) and texts[30] == rows[30][1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == clean
+    # the whole run gives what the stages give one by one, and what is made from it outlives other queries
+    whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "length")
+    other = entry.queries()["op4_exact_dedup"](spark, str(tmp_path)).select("doc_id", "kept")
+    assert sorted(map(tuple, whole.collect())) == sorted((r.doc_id, r.length) for r in packed.collect())
+    assert whole.join(other, "doc_id").where("kept").count() == whole.count()
