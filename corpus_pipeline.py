@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm import curve_packing, exact_dedup, jaccard_trees, language_id, suffix_dedup
-from girder.llm.common import keep, on_workers, scoped, table
+from girder.llm.common import discard, keep, on_workers, release, scoped, table
 
 NEAR_PARTS = 3  # rounds of the near-copy stage: five words and 0.8 make three times the keys of three words and 0.9
 
@@ -35,10 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
-    found = jaccard_trees.jaccard_components(docs, width=5, num=80, den=100, parts=NEAR_PARTS)
-    gone = keep(found.where("component_id <> doc_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of documents connected by a five-word shingle similarity of 0.8 or more, the smallest doc_id stays (any before
+    none); documents without words stay."""
+    return jaccard_trees.drop_near(docs, width=5, num=80, den=100, parts=NEAR_PARTS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +71,17 @@ ORACLE_SQL = None
 
 @scoped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's result written and read again."""
+    """The stages applied to documents, each one's result written and read again; the tables behind it then go.
+
+    Nulls and repeated rows are treated as each stage says; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        result = stage(spark, docs, sf_dir)
+        before, docs = docs, keep(result, name)
+        release(result)
+        if hasattr(before, "_kept"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
