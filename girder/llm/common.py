@@ -134,11 +134,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def give_back() -> None:
-    """Return what a task has freed to the system: Python workers live on, and their peaks would add up."""
+#: What an operator's tasks leave in their Python worker for its next tasks.
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make):
+    """What was made under this name in this Python worker, or make() now."""
+    if name not in _resident:
+        _resident[name] = make()
+    return _resident[name]
+
+
+def give_back(but: str | None = None) -> None:
+    """Return what a task has freed to the system: Python workers live on, and their peaks would add up.
+
+    What is resident under another name than ``but`` is dropped: it belongs to an operator whose turn has passed.
+    """
     import ctypes
     import gc
 
+    for name in [n for n in _resident if n != but]:
+        del _resident[name]
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, keep, small_batches
+from .common import give_back, keep, resident, small_batches
 
 WINDOW = 2048
 DIMS, BITS = 4, 15
 BUCKETS = 2048
-MEMORY = 700_000
+MEMORY = 400_000  # words of which a worker remembers the ids
 LONG = 200  # longer runs of bytes are not remembered
 
 
@@ -129,20 +129,22 @@ class _Tokens:
         return hilbert_keys(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-_tokens: dict[str, _Tokens] = {}
+def _of(path: str) -> _Tokens:
+    return resident(f"tokens {path}", lambda: _Tokens(path))
 
 
-def _of(path: str) -> _Tokens:
-    if path not in _tokens:
-        _tokens[path] = _Tokens(path)
-    return _tokens[path]
+def _kind(path: str) -> np.dtype:
+    """How wide the ids of a tokenizer are stored."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, curve_key, ids (binary, with the end id) of every row."""
 
     def run(batches):
-        give_back()
+        give_back(f"tokens {tokenizer_path}")
         tokens = _of(tokenizer_path)
         end = np.array([end_id], tokens.kind).tobytes()
         for batch in small_batches(batches, 1):
@@ -161,13 +163,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
+    unsigned = _kind(tokenizer_path)
     ordered = keep(tokenised(docs, tokenizer_path, end_id, id_col, text_col), "tokens").repartitionByRange("curve_key", "id").sortWithinPartitions("curve_key", "id")
-    width = {"path": tokenizer_path}
-
     def run(batches):
         from pyspark import TaskContext
 
-        unsigned = _of(width["path"]).kind
+        give_back()
         sequence, filled = TaskContext.get().partitionId() << 33, 0
         rest: list[tuple] = []  # pieces of the sequence not yet full
 
