@@ -16,8 +16,9 @@ overlap is too small. Pairs of sets that survive are compared exactly. There are
 1. Every set goes to the smallest set that it shares a key with (its hub), in chunks of the hub's sets; trees join each
    chunk with itself and with the hub. That is linear in the number of sets, and connects large groups of near copies.
 2. A key whose sets are all connected by now has no more to tell. Sets in other keys form groups (what is connected
-   counts as one node), and trees join all sets of a group but for pairs that are connected already. Large groups are
-   cut into blocks by size and hash, and pairs of blocks are separate tasks.
+   counts as one node). Trees over signatures alone, 512 bytes a set at most, join the sets of a group but for pairs that
+   are connected already; what they cannot rule out forms smaller groups, whose sets are then joined exactly. Large groups
+   are cut into blocks by size and hash, and pairs of blocks are separate tasks.
 
 jaccard_components() gives the components, jaccard_links() every link between different sets.
 
@@ -212,15 +213,30 @@ def _met(source: DataFrame, measure: Measure, part: int, parts: int) -> tuple[Da
     return slim, met
 
 
+def signature(members: np.ndarray) -> bytes:
+    """The token bitmap of a set: the places of its bits if these are shorter, else all bits."""
+    places = np.unique((members >> np.uint64(6)) % np.uint64(BIT_WORDS) << np.uint64(6) | members & np.uint64(63)).astype("<u2")
+    if 2 * len(places) < 8 * BIT_WORDS:
+        return places.tobytes()
+    return _bits([places.tobytes()])[0].tobytes()
+
+
+def _bits(signatures: list[bytes]) -> np.ndarray:
+    """The bitmaps of signatures, one row each."""
+    out = np.zeros((len(signatures), BIT_WORDS), np.uint64)
+    for k, raw in enumerate(signatures):
+        if len(raw) == 8 * BIT_WORDS:
+            out[k] = np.frombuffer(raw, "<u8")
+        else:
+            places = np.frombuffer(raw, "<u2").astype(np.uint64)
+            np.bitwise_or.at(out[k], (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
+    return out
+
+
 class Tree:
-    """Sets in order of their smallest hash; levels of nodes from sets up to one root level."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        bits = np.zeros((len(sets), BIT_WORDS), np.uint64)
-        for k, s in enumerate(sets):
-            np.bitwise_or.at(bits[k], ((s >> np.uint64(6)) % np.uint64(BIT_WORDS)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-        sizes = np.array([len(s) for s in sets], np.int64)
+    """Sets in order of their smallest hash, as bitmaps and sizes; levels of nodes from sets up to one root level."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
         beyond = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = [(bits, sizes, sizes, beyond)]
         fan = LEAF
@@ -234,9 +250,9 @@ class Tree:
         return LEAF if level == 1 else FAN
 
 
-def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same: bool) -> None:
-    """Calls link(i, j) for linked sets of the two trees, leaving out pairs that connected(i, j) tells of: of two
-    numbers or of two arrays of them."""
+def join_trees(left: Tree, right: Tree, measure: Measure, met, connected, same: bool) -> None:
+    """Calls met(i, j) for sets of the two trees that may be linked by their bitmaps and sizes, leaving out pairs that
+    connected(i, j) tells of: of two numbers or of two arrays of them."""
     depth = max(len(left.levels), len(right.levels)) - 1
     pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64))
     for level in range(depth, -1, -1):
@@ -246,7 +262,7 @@ def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same:
         kept = []
         for start in range(0, len(i), 1 << 15):
             x, y = i[start : start + (1 << 15)], j[start : start + (1 << 15)]
-            size = (measure.num * high2[y] >= 0) & (measure.den * high1[x] >= measure.num * low2[y]) & (measure.den * high2[y] >= measure.num * low1[x])
+            size = (measure.den * high1[x] >= measure.num * low2[y]) & (measure.den * high2[y] >= measure.num * low1[x])
             x, y = x[size], y[size]
             common = np.bitwise_count(bits1[x] & bits2[y]).sum(1, dtype=np.int64)
             most = np.minimum(np.minimum(more1[x], more2[y]) + common, np.minimum(high1[x], high2[y]))
@@ -258,10 +274,7 @@ def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same:
                 open_ = connected(i[start : start + (1 << 12)], j[start : start + (1 << 12)])
                 for x, y in zip(i[start : start + (1 << 12)][~open_].tolist(), j[start : start + (1 << 12)][~open_].tolist(), strict=True):
                     if not connected(x, y):
-                        p, q = left.sets[x], right.sets[y]
-                        overlap = len(np.intersect1d(p, q, assume_unique=True))
-                        if measure.linked(overlap, len(p), len(q)):
-                            link(x, y)
+                        met(x, y)
             return
         down1 = left.fan(a) if a == level else 1
         down2 = right.fan(b) if b == level else 1
@@ -274,11 +287,16 @@ def join_trees(left: Tree, right: Tree, measure: Measure, link, connected, same:
         pairs = (x[fine], y[fine])
 
 
-def _joined(names: list[int], members: list[bytes], side: list[int], known: list[int], measure: Measure, pairs: list[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
-    """Links (as pairs of names) between sets of the given pairs of sides; without ``every`` only such as connect what
-    is not connected yet. known: sets with equal numbers are connected from the start."""
-    parent = np.unique(np.array(known, np.int64), return_index=True, return_inverse=True)
-    parent = parent[1][parent[2]].astype(np.int64)
+def _joined(rows: dict[str, list], measure: Measure, pairs: list[tuple[int, int]], every: bool, exact: bool) -> list[tuple[int, int]]:
+    """Links (as pairs of low) between sets of the given pairs of sides; without ``every`` only such as connect what is not
+    connected yet. rows: low, side, n, known, content. Sets with equal known are connected from the start. Without ``exact``
+    contents are signatures, and what passes for a link is what the trees cannot rule out."""
+    if not rows["low"]:
+        return []
+    names, side, content = rows["low"], rows["side"], rows["content"]
+    _, first, known = np.unique(np.array(rows["known"], np.int64), return_index=True, return_inverse=True)
+    # a set that may be linked with one of those that are connected may be linked with another of them only
+    parent = first[known].astype(np.int64) if exact else np.arange(len(names))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -286,37 +304,52 @@ def _joined(names: list[int], members: list[bytes], side: list[int], known: list
             x = int(parent[x])
         return x
 
-    sets = [np.frombuffer(m, np.uint64) for m in members]
-    order = sorted(range(len(names)), key=lambda k: (int(sets[k][0]) if len(sets[k]) else 0, len(sets[k]), names[k]))
+    sets = [np.frombuffer(m, np.uint64) for m in content] if exact else []
+    bits, sizes = _bits([signature(m) for m in sets] if exact else content), np.array(rows["n"], np.int64)
+    least = [int(m[0]) if len(m) else 0 for m in sets] if exact else [int(b.argmax()) for b in bits != 0]
+    order = sorted(range(len(names)), key=lambda k: (least[k], rows["n"][k], names[k]))
     sides: dict[int, list[int]] = {}
     for k in order:
         sides.setdefault(side[k], []).append(k)
-    trees = {k: Tree([sets[x] for x in own]) for k, own in sides.items()}
+    trees = {k: Tree(bits[own], sizes[own]) for k, own in sides.items()}
     found: list[tuple[int, int]] = []
     for one, two in pairs:
         if one not in sides or two not in sides:
             continue
         a, b = np.array(sides[one]), np.array(sides[two])
 
-        def link(x: int, y: int, a=a, b=b) -> None:
-            found.append((names[a[x]], names[b[y]]))
-            parent[find(a[x])] = find(b[y])
+        def met(x: int, y: int, a=a, b=b) -> None:
+            i, j = int(a[x]), int(b[y])
+            if exact:
+                overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if not measure.linked(overlap, len(sets[i]), len(sets[j])):
+                    return
+            found.append((names[i], names[j]))
+            parent[find(i)] = find(j)
 
         def connected(x, y, a=a, b=b):
+            same = known[a[x]] == known[b[y]]
             if isinstance(x, int):
-                return names[a[x]] == names[b[y]] or not every and find(a[x]) == find(b[y])
-            return np.zeros(len(x), bool) if every else parent[parent[a[x]]] == parent[parent[b[y]]]
+                return same or not every and find(a[x]) == find(b[y])
+            return same if every else same | (parent[parent[a[x]]] == parent[parent[b[y]]])
 
-        join_trees(trees[one], trees[two], measure, link, connected, one == two)
+        join_trees(trees[one], trees[two], measure, met, connected, one == two)
     return found
 
 
-def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tuple[int, int]], every: bool) -> DataFrame:
+TASK_NAMES = ("grp", "task", "side", "low", "n", "known", "content")
+TASK = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tuple[int, int]], every: bool = False, exact: bool = True) -> DataFrame:
     """a, b: links found by the tasks. dealt: id, mark, low, high, known, tasks (array of grp, task, side) of sets; the
-    pairs of sides are joined in every task."""
+    pairs of sides are joined in every task, by the sets themselves or by their signatures."""
     marked = dealt.withColumnRenamed("id", "its_id").withColumnRenamed("mark", "its_mark")
     wanted = source.join(marked, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))).select("text", "low", "high", "known", "tasks")
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), TASK, strict=True)], names=list(TASK_NAMES))
+
     def run(batches):
         give_back()
         for batch in small_batches(batches, 0, 1 << 20):
@@ -324,28 +357,32 @@ def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tu
             out, held = [], 0
             for s, low, high, known, tasks in zip(sets, *(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 # the mark of a text is 64 bits: rows that only share it are not the set that is meant
-                for t in tasks if _digest(s) == (low, high) else ():
-                    out.append((t["grp"], t["task"], t["side"], low, known, s.tobytes()))
-                    held += 8 * len(s)
+                if _digest(s) != (low, high):
+                    continue
+                content = s.tobytes() if exact else signature(s)
+                for t in tasks:
+                    out.append((t["grp"], t["task"], t["side"], low, len(s), known, content))
+                    held += len(content)
                     if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), TASK, strict=True)], names=list(TASK_NAMES))
+                        yield batch_of(out)
                         out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), TASK, strict=True)], names=list(TASK_NAMES))
+                yield batch_of(out)
 
     def join(key, pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("low")
-        found = _joined(pdf["low"].tolist(), pdf["members"].tolist(), pdf["side"].tolist(), pdf["known"].tolist(), measure, pairs, every)
+        found = _joined(pdf.drop_duplicates("low").to_dict("list"), measure, pairs, every, exact)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    work = wanted.mapInArrow(run, "grp long, task string, side int, low long, known long, members binary")
+    work = wanted.mapInArrow(run, "grp long, task string, side int, low long, n long, known long, content binary")
     return work.groupBy("grp", "task").applyInPandas(join, "a long, b long")
 
 
-TASK_NAMES = ("grp", "task", "side", "low", "known", "members")
-TASK = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+def _possible(source: DataFrame, classes: DataFrame, active: DataFrame, measure: Measure) -> DataFrame:
+    """low, known, label: the sets that signature trees leave in smaller groups. active: low, known, label."""
+    maybe = keep(_tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], exact=False), "possible-links")
+    return components(maybe).join(active.select("low", "known"), F.col("node") == F.col("low")).select("low", "known", "label")
 
 
 def _around_hubs(classes: DataFrame, met: DataFrame) -> DataFrame:
@@ -407,7 +444,7 @@ def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, p
     """The sets of documents, and of each class (l, h) the number of documents and the first document that links reach,
     by id, those without one last: struct first(none, id, mark)."""
     source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
-    links = keep(_tasks(source, _around_hubs(classes, met), measure, [(0, 1), (1, 1)], False), "links")
+    links = keep(_tasks(source, _around_hubs(classes, met), measure, [(0, 1), (1, 1)]), "links")
     near = components(links)
     known = F.coalesce("label", "low").alias("known")
     # keys of sets that are not connected yet
@@ -416,8 +453,9 @@ def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, p
     open_sets = keep(told.join(open_keys, "key").select("low", "known", "a").distinct(), "open-sets")
     discard(met, open_keys)
     groups = components(open_sets.select("known", "a").distinct().select("a", F.col("known").alias("b")))
-    active = open_sets.select("low", "known").distinct().join(groups, F.col("known") == F.col("node")).select("low", "known", "label")
-    more = keep(_tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], False), "links")
+    active = keep(open_sets.select("low", "known").distinct().join(groups, F.col("known") == F.col("node")).select("low", "known", "label"), "open-groups")
+    possible = _possible(source, classes, active, measure)
+    more = keep(_tasks(source, _in_blocks(classes, possible, measure), measure, [(2, 2), (0, 1)]), "links")
     joined = components(links.unionAll(more))
     reached = classes.join(joined, F.col("low") == F.col("node"), "left").withColumn("label", F.coalesce("label", "low"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
@@ -454,7 +492,8 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
     groups = components(met.select("a", F.col("low").alias("b")).distinct())
     active = groups.select(F.col("node").alias("low"), F.col("node").alias("known"), "label")
-    found = _tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], True)
+    possible = _possible(source, classes, active, measure)
+    found = _tasks(source, _in_blocks(classes, possible, measure), measure, [(2, 2), (0, 1)], every=True)
     links = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     members = sets.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("low")).alias("class"), F.col("n").alias("n_shingles")).join(counts, "class", "left")

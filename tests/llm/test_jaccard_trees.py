@@ -57,6 +57,22 @@ def test_groups_cut_into_blocks(frame, monkeypatch):
     assert {tuple(r) for r in jt.jaccard_components(frame(rows)).collect()} == brute(rows, 3, 90, 100)
 
 
+def test_signatures_rule_out_only_what_cannot_be():
+    """Every set of those that are connected is left with an outsider that it may be linked with; unlike sets are not."""
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    base = np.unique(dice.integers(0, 2**64, 200, np.uint64))
+    sets = [base, np.unique(np.r_[base[5:], base[:4]]), base[3:], np.unique(dice.integers(0, 2**64, 200, np.uint64))]
+    rows = {"low": [1, 2, 3, 4], "side": [2] * 4, "n": [len(s) for s in sets], "known": [1, 1, 3, 4], "content": [jt.signature(s) for s in sets]}
+    got = {tuple(sorted(p)) for p in jt._joined(rows, jt.Measure(3, 90, 100), [(2, 2)], False, False)}
+    assert got == {(1, 3), (2, 3)}
+    long = np.unique(dice.integers(0, 2**64, 9000, np.uint64))
+    assert len(jt.signature(long)) == 512 and (jt._bits([jt.signature(long)]) != 0).all()
+    small = jt._bits([jt.signature(base)])
+    assert int(np.bitwise_count(small).sum()) * 2 == len(jt.signature(base))
+
+
 def test_no_link_is_lost_by_ranges():
     dice = random.Random(2)
     measure = jt.Measure(3, 80, 100)
