@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,9 +20,13 @@ def translate(pattern: str, flags: str = "") -> str:
 
 
 def matches(column: Column, patterns: str | list[str] | tuple[str, ...]) -> Column:
-    """Whether any of the patterns is found somewhere in the column; null is no match."""
+    """Whether any of the patterns is found somewhere in the column; null (which a filter drops) if the column is null."""
     each = [patterns] if isinstance(patterns, str) else list(patterns)
-    found = F.lit(False)
-    for p in each:
-        found = found | column.rlike(translate(p))
-    return F.coalesce(found, F.lit(False))
+    return reduce(Column.__or__, [column.rlike(translate(p)) for p in each]) if each else F.lit(False)
+
+
+def found_in(spark: SparkSession, text: str, patterns: str | list[str] | tuple[str, ...]) -> bool:
+    """The same for one string, on the driver, by the JVM's own expressions."""
+    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
+    each = [patterns] if isinstance(patterns, str) else list(patterns)
+    return any(pattern.compile(translate(p)).matcher(text).find() for p in each)

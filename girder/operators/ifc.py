@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators import traversal
@@ -32,7 +30,7 @@ def references(parsed: DataFrame) -> DataFrame:
 
 def relation_pairs(parsed: DataFrame, arguments) -> DataFrame:
     """type, relating, related: relation statements, one row for each related id."""
-    rows = parsed.where(F.col("type").isin(*RELATION_PLACES)).withColumn("each", arguments(F.col("args")))
+    rows = arguments(parsed.where(F.col("type").isin(*RELATION_PLACES)))
     one, many = (F.create_map(*[F.lit(x) for t, p in RELATION_PLACES.items() for x in (t, p[k])]) for k in (0, 1))
 
     def ids(place):
@@ -56,22 +54,48 @@ def element_clusters(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return traversal.clusters(elements.select("id"), inside)
 
 
+def _phases(counts: list[tuple[int, int]], groups: int) -> list[tuple[int, int, int, list[int]]]:
+    """size, start, stop, order: of the clusters of one size, those ranked start to stop go to the groups in order, over and
+    over. counts: sizes from the largest, with their numbers of clusters.
+
+    The groups that are less than a size above the least loaded one take turns until they reach the next one's load, so there
+    is a phase for each group and size at most, however many clusters there are.
+    """
+    loads, out = [0] * groups, []
+    for size, many in counts:
+        rank = 0
+        while rank < many:
+            least = min(loads)
+            order = sorted((g for g in range(groups) if loads[g] < least + size), key=lambda g: (loads[g], g))
+            above = [x for x in loads if x >= least + size]
+            turns = (min(above) - least) // size * len(order) if above else many
+            turns = min(turns, many - rank)
+            out.append((size, rank, rank + turns, order))
+            for place, g in enumerate(order):
+                loads[g] += size * (turns // len(order) + (place < turns % len(order)))
+            rank += turns
+    return out
+
+
 def pack(clusters: DataFrame, groups: int) -> DataFrame:
     """id, group_id: clusters by falling size, ties by id, each to the group with the least so far (the lowest on a tie).
 
-    The greedy rule is sequential, so the sizes (two numbers for each cluster) go to the driver.
+    The driver sees how many clusters have each size, and says which ranks of a size go where; ranks are counted within
+    ranges of ids.
     """
     if isinstance(groups, bool) or not isinstance(groups, int) or groups < 1:
         raise ValueError("the number of groups must be a positive integer")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster")
-    loads = [(0, g) for g in range(groups)]
-    placed = []
-    for row in sizes.toLocalIterator():
-        load, g = heapq.heappop(loads)
-        placed.append((row["cluster"], g))
-        heapq.heappush(loads, (load + row["n"], g))
-    assignment = clusters.sparkSession.createDataFrame(placed, "cluster long, group_id int")
-    return clusters.join(assignment, "cluster").select("id", "group_id")
+    sizes = traversal.materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("cluster") / 65536)))
+    ranges = sizes.groupBy("n", "range").agg(F.count(F.lit(1)).alias("many"))
+    counts = ranges.groupBy("n").agg(F.sum("many").alias("many")).orderBy(F.desc("n")).collect()  # k different sizes take k * k / 2 elements
+    told = [(n, start, stop, order) for n, start, stop, order in _phases([(r["n"], r["many"]) for r in counts], groups)]
+    phases = clusters.sparkSession.createDataFrame(told, "n long, start long, stop long, order array<int>")
+    before = ranges.withColumn("before", F.sum("many").over(Window.partitionBy("n").orderBy("range")) - F.col("many")).drop("many")
+    rank = F.row_number().over(Window.partitionBy("n", "range").orderBy("cluster")) - 1
+    ranked = sizes.withColumn("rank", rank).join(before, ["n", "range"]).select("cluster", "n", (F.col("before") + F.col("rank")).alias("rank"))
+    own = ranked.join(phases, "n").where("rank >= start AND rank < stop")
+    placed = own.select("cluster", F.get("order", F.pmod(F.col("rank") - F.col("start"), F.size("order")).cast("int")).alias("group_id"))
+    return clusters.join(placed, "cluster").select("id", "group_id")
 
 
 def extract(parsed: DataFrame, wanted: DataFrame, elements: DataFrame) -> DataFrame:
@@ -91,6 +115,12 @@ def split(parsed: DataFrame, members: DataFrame, shared: DataFrame) -> DataFrame
     return own.unionAll(step).unionAll(groups.crossJoin(shared.select("id"))).distinct()
 
 
+def with_shared(needed: DataFrame, members: DataFrame, shared: DataFrame) -> DataFrame:
+    """group_id, id: what each group needs and the shared statements, which stand in the file of every group."""
+    groups = members.select("group_id").distinct()
+    return needed.select("group_id", "id").unionAll(groups.crossJoin(shared.select("id"))).distinct()
+
+
 def rewrite_lists(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """type, relating, group_id, related: lists of relations cut down to a group's members; empty ones go."""
     kept = pairs.join(members.select(F.col("id").alias("related"), "group_id"), "related")
@@ -126,8 +156,8 @@ def attributes(parsed: DataFrame, arguments, names: dict[str, tuple[str, ...]])
     truth values, TYPE(value) is unwrapped and keeps its type.
     """
     table = F.create_map(*[x for t, each in names.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in each]))])
-    rows = parsed.where(F.col("type").isin(*names)).withColumn("names", table[F.col("type")])
-    each = rows.select("id", "names", F.posexplode(arguments(F.col("args"))).alias("ord", "raw"))
+    rows = arguments(parsed.where(F.col("type").isin(*names)).withColumn("names", table[F.col("type")]))
+    each = rows.select("id", "names", F.posexplode("each").alias("ord", "raw"))
     typed = F.regexp_extract("raw", r"^([A-Z][A-Z0-9]*)\((.*)\)$", 1)
     inner = F.when(typed != "", F.regexp_extract("raw", r"^([A-Z][A-Z0-9]*)\((.*)\)$", 2)).otherwise(F.col("raw"))
     out = each.select("id", "ord", F.get("names", F.col("ord")).alias("name"), inner.alias("value"), typed.alias("typed"))

@@ -58,11 +58,15 @@ def linear(ends: DataFrame) -> DataFrame:
 
 
 def forward(asked: DataFrame, keys: DataFrame, values: DataFrame) -> DataFrame:
-    """name, key_num, values: of each asked (name, key_num), the last such key's values in order; null if there is no key."""
-    last = keys.groupBy("name", "key_num").agg(F.max("pos").alias("pos"))
-    chosen = asked.join(last, ["name", "key_num"], "left")
-    each = entries(keys, values).select("name", "pos", "ord", "value_num").groupBy("name", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value_num"))), lambda x: x["value_num"]).alias("values"))
-    found = chosen.join(each, ["name", "pos"], "left")
+    """name, key_num, values: of each asked (name, key_num), the last such key's values in order; null if there is no key.
+
+    Only slices of asked keys are spread out.
+    """
+    mine = keys.join(asked.select("name", "key_num").distinct(), ["name", "key_num"], "left_semi")
+    last = mine.groupBy("name", "key_num").agg(F.max_by(F.struct("pos", "start", "stop"), "pos").alias("k")).select("name", "key_num", "k.*")
+    each = entries(last.withColumn("key_str", F.lit(None).cast("string")), values).groupBy("name", "pos")
+    each = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value_num"))), lambda x: x["value_num"]).alias("values"))
+    found = asked.join(last.select("name", "key_num", "pos"), ["name", "key_num"], "left").join(each, ["name", "pos"], "left")
     return found.select("name", "key_num", F.when(F.col("pos").isNotNull(), F.coalesce("values", F.array().cast("array<bigint>"))).alias("values"))
 
 

@@ -40,12 +40,13 @@ def nearest(hits: DataFrame, distance: str, *tie: str) -> DataFrame:
 
 
 def box_triangles(boxes: DataFrame) -> DataFrame:
-    """The twelve triangles of each box: a, b, c as structs of x, y, z, with the other columns."""
-    def corner(k: int) -> Column:
-        return F.struct(*[F.col((HIGH if k >> i & 1 else LOW)[i]).alias(a) for i, a in enumerate("xyz")])
+    """The twelve triangles of each box: a, b, c as structs of x, y, z, with the other columns.
 
-    each = F.array(*[F.struct(corner(a).alias("a"), corner(b).alias("b"), corner(c).alias("c")) for a, b, c in BOX_TRIANGLES])
-    return boxes.withColumn("t", F.explode(each)).select(*boxes.columns, "t.a", "t.b", "t.c")
+    A small constant table of corners is exploded; coordinates are picked from the sides afterwards.
+    """
+    faces = F.array(*[F.struct(*[F.lit(bool(k >> i & 1)).alias(f"{p}{x}") for p, k in zip("abc", t, strict=True) for i, x in enumerate("xyz")]) for t in BOX_TRIANGLES])
+    picked = {p: F.struct(*[F.when(F.col(f"t.{p}{x}"), F.col(h)).otherwise(F.col(l)).alias(x) for x, l, h in zip("xyz", LOW, HIGH, strict=True)]) for p in "abc"}
+    return boxes.withColumn("t", F.explode(faces)).select(*boxes.columns, *[c.alias(p) for p, c in picked.items()])
 
 
 def volumes(triangles: DataFrame, key: str = "item_id") -> DataFrame:
@@ -56,24 +57,47 @@ def volumes(triangles: DataFrame, key: str = "item_id") -> DataFrame:
     return triangles.groupBy(key).agg(F.abs(F.sum(v)).alias("volume"))
 
 
-def section(triangles: DataFrame, axis: str, at: float) -> DataFrame:
-    """Segments in which triangles cross the plane axis = at: those with exactly two crossed edges."""
-    def cut(p: str, q: str) -> Column:
-        a, b = F.col(f"{p}.{axis}") - at, F.col(f"{q}.{axis}") - at
-        s = a / (a - b)
-        point = F.struct(*[(F.col(f"{p}.{x}") + (F.col(f"{q}.{x}") - F.col(f"{p}.{x}")) * s).alias(x) for x in "xyz"])
-        return F.when((a < 0) != (b < 0), point)
+def section(triangles: DataFrame, plane: tuple[float, float, float, float]) -> DataFrame:
+    """Segments p, q in which triangles cross the plane n x + c = 0 (n, c): those with exactly two crossed edges.
 
-    hits = F.filter(F.array(cut("a", "b"), cut("b", "c"), cut("c", "a")), lambda h: h.isNotNull())
+    An edge is crossed if one end is below the plane and the other is not, so a triangle that only touches it gives none.
+    Triangles on one side go before any point is computed.
+    """
+    *normal, constant = (float(x) for x in plane)
     rest = [c for c in triangles.columns if c not in ("a", "b", "c")]
-    return triangles.withColumn("hits", hits).where(F.size("hits") == 2).select(*rest, F.col("hits")[0].alias("p"), F.col("hits")[1].alias("q"))
 
+    def height(p: str) -> Column:
+        return F.col(f"{p}.x") * normal[0] + F.col(f"{p}.y") * normal[1] + F.col(f"{p}.z") * normal[2] + constant
 
-def runs(rows: DataFrame, *keys: str, position: str = "pos") -> DataFrame:
-    """keys, start, size: stretches of consecutive positions, as draw calls want them."""
-    order = Window.partitionBy(*keys).orderBy(position)
-    island = F.col(position) - F.row_number().over(order)
-    return rows.select(*keys, position).distinct().withColumn("island", island).groupBy(*keys, "island").agg(F.min(position).alias("start"), F.count(F.lit(1)).alias("size")).drop("island")
+    rows = triangles.select("*", *[height(p).alias(f"h{p}") for p in "abc"])
+    crossing = rows.where((F.least("ha", "hb", "hc") < 0) & (F.greatest("ha", "hb", "hc") >= 0))
+
+    def point(p: str, q: str) -> Column:
+        s = F.col(f"h{p}") / (F.col(f"h{p}") - F.col(f"h{q}"))
+        return F.struct(*[(F.col(f"{p}.{x}") + (F.col(f"{q}.{x}") - F.col(f"{p}.{x}")) * s).alias(x) for x in "xyz"])
+
+    # exactly two of the three edges are crossed: all but the one whose ends are on one side
+    ab, bc = (F.col("ha") < 0) == (F.col("hb") < 0), (F.col("hb") < 0) == (F.col("hc") < 0)
+    p = F.when(ab, point("b", "c")).otherwise(point("a", "b"))
+    q = F.when(ab | bc, point("c", "a")).otherwise(point("b", "c"))
+    return crossing.select(*rest, p.alias("p"), q.alias("q"))
+
+
+def runs(rows: DataFrame, *keys: str, position: str = "pos", block: int = 1 << 16) -> DataFrame:
+    """keys, start, size: stretches of consecutive positions, as draw calls want them.
+
+    Positions are ranked within blocks, so that no task sees all of a key; only stretches that end at a border of
+    blocks, two for each block at most, are put together afterwards.
+    """
+    rows = rows.select(*keys, F.col(position).cast("long").alias("pos")).distinct().withColumn("block", F.floor(F.col("pos") / block))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(*keys, "block").orderBy("pos"))
+    local = rows.withColumn("island", island).groupBy(*keys, "block", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("size"))
+    open_ = (F.pmod("start", F.lit(block)) == 0) | (F.pmod(F.col("start") + F.col("size"), F.lit(block)) == 0)
+    whole = Window.partitionBy(*keys).orderBy("start")
+    fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(whole) < F.col("start"), F.lit(True)).cast("long")
+    border = local.where(open_).select(*keys, "start", "size", fresh.alias("fresh")).select(*keys, "start", "size", F.sum("fresh").over(whole).alias("run"))
+    joined = border.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"))
+    return local.where(~open_).select(*keys, "start", "size").unionByName(joined.select(*keys, "start", "size"))
 
 
 def cells(boxes: DataFrame, size: float) -> DataFrame:
@@ -116,10 +140,28 @@ def tiles(boxes: DataFrame, dimension: float) -> DataFrame:
     return boxes.select("*", *[snap(a, b).alias(f"tile_{x}") for a, b, x in zip(LOW, HIGH, "xyz", strict=True)], size.alias("size_class"))
 
 
-def complement(runs_: DataFrame, total: DataFrame, *keys: str) -> DataFrame:
-    """keys, start, size of the stretches between runs(keys, start, size), from 0 to total(keys, total)."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    joined = total.join(runs_, list(keys), "left")
-    before = joined.select(*keys, "start", F.coalesce(F.lag(F.col("start") + F.col("size")).over(order), F.lit(0)).alias("from")).where("start > from").select(*keys, F.col("from").alias("start"), (F.col("start") - F.col("from")).alias("size"))
-    last = joined.groupBy(*keys, "total").agg(F.coalesce(F.max(F.col("start") + F.col("size")), F.lit(0)).alias("end")).where("total > end").select(*keys, F.col("end").alias("start"), (F.col("total") - F.col("end")).alias("size"))
-    return before.unionByName(last)
+def complement(runs_: DataFrame, total: DataFrame, *keys: str, block: int = 1 << 16) -> DataFrame:
+    """keys, start, size of the stretches between runs(keys, start, size), from 0 to total(keys, total).
+
+    What a stretch follows is found within blocks; the first one of a block takes the end of the block before that has
+    any. One row for each block is ordered by key.
+    """
+    rows = runs_.select(*keys, "start", (F.col("start") + F.col("size")).alias("end"), F.floor(F.col("start") / block).alias("block"))
+    ends = rows.groupBy(*keys, "block").agg(F.max("end").alias("block_end"))
+    ends = ends.withColumn("earlier", F.lag("block_end").over(Window.partitionBy(*keys).orderBy("block"))).drop("block_end")
+    before = F.lag("end").over(Window.partitionBy(*keys, "block").orderBy("start"))
+    follows = rows.withColumn("before", before).join(ends, [*keys, "block"]).withColumn("from", F.coalesce("before", "earlier", F.lit(0)))
+    between = follows.where("start > from").select(*keys, F.col("from").alias("start"), (F.col("start") - F.col("from")).alias("size"))
+    last = total.join(rows.groupBy(*keys).agg(F.max("end").alias("end")), list(keys), "left").withColumn("end", F.coalesce("end", F.lit(0)))
+    return between.unionByName(last.where("total > end").select(*keys, F.col("end").alias("start"), (F.col("total") - F.col("end")).alias("size")))
+
+
+def vertex_boxes(triangles: DataFrame, key: str, precision: float | None = None) -> DataFrame:
+    """key and the box of all vertices; with a precision, sides are moved outwards to multiples of it."""
+    each = {a: [F.col(f"{p}.{a}") for p in "abc"] for a in "xyz"}
+    low_ = [F.min(F.least(*each[a])) for a in "xyz"]
+    high_ = [F.max(F.greatest(*each[a])) for a in "xyz"]
+    if precision is not None:
+        p = F.lit(float(precision))
+        low_, high_ = [F.floor(F.round(c / p, 9)) * p for c in low_], [F.ceil(F.round(c / p, 9)) * p for c in high_]
+    return triangles.groupBy(key).agg(*[c.alias(n) for c, n in zip(low_ + high_, LOW + HIGH, strict=True)])

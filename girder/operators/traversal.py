@@ -11,19 +11,44 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or one of this machine where that is unset and everything runs here (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "girder-rounds")
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> tuple:
+    """A path of its own in the shared folder, which goes when the application ends, with its file system."""
+    folder = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return f"{folder}/table", system, where
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """A table in the shared folder of spark.checkpoint.dir, read again; cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "girder-rounds")
-    path = f"{folder.rstrip('/')}/girder-rounds/{uuid.uuid4().hex}"
+    path, *written = scratch(df.sparkSession, "girder-rounds")
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = tuple(written)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() has written and that nothing will read any more."""
+    for df in tables:
+        system, where = df._written
+        system.delete(where, True)
 
 
 def closure(start: DataFrame, edges: DataFrame, stop: DataFrame | None = None, most: int = 1000) -> DataFrame:
@@ -49,11 +74,12 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     Nodes without a local id group others and are passed, not returned; a root is returned only if it lies
     below another.
     """
-    top = nodes.join(roots, "local_id", "left_semi").select(F.col("node_id").alias("a"))
-    children = nodes.where("parent_node_id IS NOT NULL").select(F.col("parent_node_id").alias("a"), F.col("node_id").alias("b"))
+    kept = materialise(nodes.select("node_id", "parent_node_id", "local_id"))
+    top = kept.join(roots, "local_id", "left_semi").select(F.col("node_id").alias("a"))
+    children = kept.where("parent_node_id IS NOT NULL").select(F.col("parent_node_id").alias("a"), F.col("node_id").alias("b"))
     first = children.join(top, "a", "left_semi").select(F.col("b").alias("id"))
     below = closure(first, children).select("id")
-    return nodes.join(below, nodes.node_id == below.id, "left_semi").where("local_id IS NOT NULL").select("local_id").distinct()
+    return kept.join(below, kept.node_id == below.id, "left_semi").where("local_id IS NOT NULL").select("local_id").distinct()
 
 
 @dataclass(frozen=True)
@@ -117,7 +143,10 @@ def clusters(nodes: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
         heard = told.unionAll(labels).groupBy("id").agg(F.min("cluster").alias("cluster"))
         jump = heard.select(F.col("id").alias("to"), F.col("cluster").alias("further"))
         after = materialise(heard.join(jump, F.col("cluster") == F.col("to")).select("id", F.least("cluster", "further").alias("cluster")))
-        if after.exceptAll(labels).isEmpty():
+        settled = after.join(labels.withColumnRenamed("cluster", "before"), "id").where("cluster <> before").isEmpty()
+        discard(labels)
+        if settled:
+            discard(both)
             return after
         labels = after
     raise RuntimeError(f"no end after {most} rounds")

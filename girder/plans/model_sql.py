@@ -51,3 +51,22 @@ LOG = (
     "log AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'CREATE_ITEM' WHEN 'error' THEN 'DELETE_ITEM' "
     "WHEN 'view' THEN 'UPDATE_RELATION' ELSE 'UPDATE_ITEM' END AS type, CAST(user_id AS BIGINT) * 8 + 3 AS local_id, value FROM events)"
 )
+PLACED = (
+    f"{TRANSFORMS}, lines AS (SELECT l_orderkey AS item_id, l_linenumber AS ln, min(l_partkey) AS repr_id, min(l_quantity) AS lx FROM lineitem GROUP BY ALL), "
+    "turns AS (SELECT l.*, l_ln.lc, l_ln.ls, CASE l.item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.8 END AS gc, CASE l.item_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE -0.6 END AS gs "
+    "FROM lines l, LATERAL (SELECT CASE WHEN ln % 2 = 1 THEN 0.6 ELSE 1.0 END AS lc, CASE WHEN ln % 2 = 1 THEN 0.8 ELSE 0.0 END AS ls) l_ln), "
+    "placed AS (SELECT item_id * 8 + ln AS sample_id, t.item_id, repr_id, CAST(gc * lc - gs * ls AS DOUBLE) AS c, CAST(gs * lc + gc * ls AS DOUBLE) AS s, "
+    "CAST(gx + gc * lx - gs * (ln * 2.0) AS DOUBLE) AS tx, CAST(gy + gs * lx + gc * (ln * 2.0) AS DOUBLE) AS ty, CAST(p_size AS DOUBLE) AS size "
+    "FROM turns t JOIN transforms USING (item_id) JOIN part ON p_partkey = repr_id)"
+)
+RAYS = (
+    "rays AS (SELECT s_suppkey AS ray_id, CAST(-60 AS DOUBLE) AS ox, CAST(0.37 + s_suppkey % 25 AS DOUBLE) AS oy, CAST(0.11 + (s_suppkey % 7) / 10 AS DOUBLE) AS oz, CAST(1 AS DOUBLE) AS dx, "
+    "CAST((s_suppkey % 11) * 0.0137 - 0.05 AS DOUBLE) AS dy, CAST((s_suppkey % 13) * 0.0002 + 0.0001 AS DOUBLE) AS dz FROM supplier)"
+)
+#: Rays in the frame of each sample, where its box is parallel to the axes.
+HITS = (
+    f"{PLACED}, {RAYS}, own AS (SELECT ray_id, sample_id, item_id, size, c * (ox - tx) + s * (oy - ty) AS px, c * (oy - ty) - s * (ox - tx) AS py, oz AS pz, c * dx + s * dy AS qx, c * dy - s * dx AS qy, dz AS qz FROM rays, placed), "
+    "slabs AS (SELECT *, greatest(least(-px / qx, (size - px) / qx), least(-py / qy, (size / 2 - py) / qy), least(-pz / qz, (1 - pz) / qz)) AS near, "
+    "least(greatest(-px / qx, (size - px) / qx), greatest(-py / qy, (size / 2 - py) / qy), greatest(-pz / qz, (1 - pz) / qz)) AS far FROM own), "
+    "hits AS (SELECT ray_id, sample_id, item_id, CASE WHEN near >= 0 THEN near ELSE far END AS distance FROM slabs WHERE near <= far AND far >= 0)"
+)

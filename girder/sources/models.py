@@ -35,6 +35,17 @@ class ModelTables:
     def select(self, model_id: str) -> ModelTables:
         return ModelTables({n: df.where(F.col("model_id") == model_id) for n, df in self.tables.items()})
 
+    def merged(self, other: ModelTables) -> ModelTables:
+        """Both side by side; another model of an id that is here takes its place."""
+        kept = self
+        for row in other["models"].select("model_id").collect():  # the models that are loaded
+            kept = kept.without(row["model_id"])
+        return ModelTables({n: df.unionByName(other[n]) for n, df in kept.tables.items()})
+
+    def without(self, model_id: str) -> ModelTables:
+        """The registry after a model is disposed of."""
+        return ModelTables({n: df.where(F.col("model_id") != model_id) for n, df in self.tables.items()})
+
     def to_json(self, name: str) -> DataFrame:
         return self[name].select("model_id", F.to_json(F.struct("*")).alias("json"))
 

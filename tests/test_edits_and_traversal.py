@@ -88,7 +88,7 @@ def test_boxes_volume_section(spark):
     box = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0, 3.0, 4.0)], "item_id long, minx double, miny double, minz double, maxx double, maxy double, maxz double")
     triangles = spatial.box_triangles(box)
     assert [round(r.volume, 9) for r in spatial.volumes(triangles).collect()] == [24.0]
-    assert spatial.section(triangles, "z", 1.0).count() == 8
+    assert spatial.section(triangles, (0.0, 0.0, 1.0, -1.0)).count() == 8
     assert spatial.merged(box.limit(0)).first().minx == float("inf")
 
 

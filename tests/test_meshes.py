@@ -47,7 +47,7 @@ def test_shells_rays_sections(spark):
     assert triangles.count() == 12 and [round(r.volume, 9) for r in spatial.volumes(triangles, "repr_id").collect()] == [24.0]
     hits = sorted(round(r.distance, 9) for r in meshes.ray_hits(triangles, (-1.0, 1.1, 1.0), (1.0, 0.0, 0.0)).collect())
     assert hits == [1.0, 3.0]
-    contour = meshes.section_contours(spatial.section(triangles, "z", 1.0), "repr_id", ("x", "y")).collect()
+    contour = meshes.section_contours(spatial.section(triangles, (0.0, 0.0, 1.0, -1.0)), "repr_id", ("x", "y")).collect()
     assert [(r.closed, round(r.area, 3)) for r in contour] == [(True, 6.0)]
     twice = triangles.unionByName(triangles.withColumn("repr_id", F.lit(2).cast("long")))
     assert meshes.geometry_keys(twice).select("shape").distinct().count() == 1
