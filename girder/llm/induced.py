@@ -58,80 +58,103 @@ class BulkQueue:
             self._spill()
 
     def _spill(self) -> None:
-        index, start = {}, 0
-        for symbol in sorted(self.near):
-            size = sum(len(part[0]) for part in self.near[symbol])
-            index[symbol] = (start, start + size)
-            start += size
-        stored = []
+        symbols = np.array(sorted(self.near), np.int64)
+        sizes = [sum(len(part[0]) for part in self.near[x]) for x in symbols.tolist()]
+        stored = [self._written([np.r_[0, np.cumsum(sizes)]], np.dtype(np.int64)), self._written([symbols], np.dtype(np.int64))]
         for k, kind in enumerate(self.columns):
-            handle, path = tempfile.mkstemp(dir=self.folder)
-            with os.fdopen(handle, "wb") as out:
-                for symbol in sorted(self.near):
-                    for part in self.near[symbol]:
-                        out.write(part[k].astype(kind, copy=False).tobytes())
-            stored.append(np.memmap(path, kind, "r"))
-        self.runs.append((index, stored))
+            stored.append(self._written((part[k] for x in symbols.tolist() for part in self.near[x]), kind))
+        self.runs.append(tuple(stored))
         self.near, self.held = {}, 0
 
-    def take(self, symbol: int) -> list[np.ndarray]:
-        """All entries of the symbol; none may come for it afterwards."""
-        pieces = [tuple(np.asarray(c[slice(*index[symbol])]) for c in stored) for index, stored in self.runs if symbol in index]
+    def _written(self, parts, kind: np.dtype) -> np.ndarray:
+        handle, path = tempfile.mkstemp(dir=self.folder)
+        with os.fdopen(handle, "wb") as out:
+            for part in parts:
+                out.write(part.astype(kind, copy=False).tobytes())
+        return np.memmap(path, kind, "r")
+
+    def stored(self, symbol: int):
+        """The symbol's pieces on disk, in order."""
+        for bounds, symbols, *columns in self.runs:
+            k = int(np.searchsorted(symbols, symbol))
+            if k < len(symbols) and symbols[k] == symbol:
+                start, stop = int(bounds[k]), int(bounds[k + 1])
+                for at in range(start, stop, self.buffer):
+                    yield tuple(c[at : min(stop, at + self.buffer)] for c in columns)
+
+    def take(self, symbol: int):
+        """All entries of the symbol, in pieces of ``buffer`` at most; none may come for it afterwards."""
         near = self.near.pop(symbol, [])
         self.held -= sum(len(part[0]) for part in near)
-        pieces += near
-        return [np.concatenate(c) for c in zip(*pieces, strict=True)] if pieces else [np.zeros(0, k) for k in self.columns]
+        for piece in self.stored(symbol):
+            yield tuple(np.asarray(c) for c in piece)
+        yield from _joined(near, self.buffer)
+
+
+def _joined(parts: list[tuple], buffer: int) -> list[tuple]:
+    """The same entries in larger pieces, of about ``buffer``."""
+    out, held, size = [], [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= buffer:
+            out.append(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, size = [], 0
+    return [*out, tuple(np.concatenate(c) for c in zip(*held, strict=True))] if held else out
 
 
 class Sorted:
-    """Suffixes of one symbol, ascending: L suffixes, then S suffixes, with common prefixes of neighbours."""
+    """Suffixes by symbol as they are found, with common prefixes of neighbours; on disk beyond ``buffer`` entries in all."""
 
     def __init__(self, folder: str, buffer: int, kind: np.dtype):
-        self.folder, self.buffer, self.kind = folder, buffer, kind
-        self.at: dict[int, list[tuple]] = {}
+        self.queue = BulkQueue(folder, [kind, np.dtype(np.uint8)], buffer)
 
     def add(self, symbol: int, positions: np.ndarray, common: np.ndarray) -> None:
         if len(positions):
-            if len(positions) >= self.buffer:
-                stored = []
-                for column in (positions, common):
-                    handle, path = tempfile.mkstemp(dir=self.folder)
-                    os.close(handle)
-                    column.tofile(path)
-                    stored.append(np.memmap(path, column.dtype, "r"))
-                positions, common = stored
-            self.at.setdefault(symbol, []).append((positions, common))
-
-    def get(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = self.at.get(symbol)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
-
-
-def star_suffixes(text: np.ndarray, block: int = 1 << 22) -> np.ndarray:
-    """Positions of S* suffixes in text order, read from the end in blocks."""
-    if not len(text):
-        return np.zeros(0, np.int64)
-    found: list[np.ndarray] = []
+            self.queue.near.setdefault(symbol, []).append((positions, common))
+            self.queue.held += len(positions)
+            if self.queue.held >= self.queue.buffer:
+                self.queue._spill()
+
+    def get(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The symbol's pieces in order: what is on disk stays there."""
+        return [*self.queue.stored(symbol), *_joined(self.queue.near.get(symbol, []), self.queue.buffer)]
+
+
+def _on_disk(folder: str, size: int, kind) -> np.ndarray:
+    """An array in a file of its own."""
+    handle, path = tempfile.mkstemp(dir=folder)
+    os.close(handle)
+    return np.memmap(path, kind, "w+", shape=(size,)) if size else np.zeros(0, kind)
+
+
+def star_suffixes(text: np.ndarray, folder: str, block: int = 1 << 16) -> np.ndarray:
+    """Positions of S* suffixes in text order, on disk; the text is read from the end in blocks."""
+    kind = np.dtype(np.int32 if len(text) < 1 << 31 else np.int64)
+    handle, path = tempfile.mkstemp(dir=folder)
     after_symbol, after_small, n = -1, False, len(text)  # the empty suffix is smaller than all: the last one is L
-    for start in range((max(0, n - 1) // block) * block, -1, -block):
-        part = text[start : start + block].astype(np.int64)
-        nxt = np.r_[part[1:], after_symbol]
-        flag = part != nxt
-        differ = np.flatnonzero(flag)
-        small = np.zeros(len(part), bool)
-        which = np.cumsum(flag) - flag  # the end of the run of equal symbols
-        inside = which < len(differ)
-        ends = differ[which[inside]]
-        small[inside] = part[ends] < nxt[ends]
-        small[~inside] = after_small
-        here = np.r_[small, after_small]
-        if start + len(part) < n and after_small and not small[-1]:
-            found.append(np.array([start + len(part)]))
-        found.append(start + np.flatnonzero(here[1 : len(part)] & ~here[: len(part) - 1]) + 1)
-        after_symbol, after_small = int(part[0]), bool(small[0])
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    total = 0
+    with os.fdopen(handle, "wb") as out:
+        for start in range((max(0, n - 1) // block) * block, -1, -block):
+            part = text[start : start + block].astype(np.int64)
+            if not len(part):
+                break
+            nxt = np.r_[part[1:], after_symbol]
+            flag = part != nxt
+            differ = np.flatnonzero(flag)
+            small = np.zeros(len(part), bool)
+            which = np.cumsum(flag) - flag  # the end of the run of equal symbols
+            inside = which < len(differ)
+            ends = differ[which[inside]]
+            small[inside] = part[ends] < nxt[ends]
+            small[~inside] = after_small
+            found = start + np.flatnonzero(small[1:] & ~small[:-1]) + 1
+            if start + len(part) < n and after_small and not small[-1]:
+                found = np.r_[found, start + len(part)]
+            out.write(found[::-1].astype(kind).tobytes())
+            total += len(found)
+            after_symbol, after_small = int(part[0]), bool(small[0])
+    return np.memmap(path, kind, "r")[::-1] if total else np.zeros(0, kind)
 
 
 def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -194,67 +217,75 @@ def _common(text: np.ndarray, a: int, b: int) -> int:
     return int(differ[0]) if len(differ) else m
 
 
+def _symbols(text: np.ndarray, block: int = 1 << 16) -> list[int]:
+    found = np.zeros(0, np.int64)
+    for start in range(0, len(text), block):
+        found = np.union1d(found, text[start : start + block])
+    return found.astype(np.int64).tolist()
+
+
 def induce(text: np.ndarray, stars: np.ndarray, star_common: np.ndarray | None, folder: str, buffer: int) -> tuple[list[int], Sorted, Sorted]:
     """All suffixes by symbol: those of type L, and those of type S (descending, as they are found)."""
     n, kind = len(text), np.dtype(np.int32 if len(text) < 1 << 31 else np.int64)
     track = star_common is not None
     columns = [kind, np.dtype(np.uint8)]
-    first = np.asarray(text[stars]).astype(np.int64)
-    by_symbol = np.argsort(first, kind="stable")
-    stars, first = stars[by_symbol], first[by_symbol]
-    star_common = star_common[by_symbol] if track else np.zeros(len(stars), np.uint8)
-    symbols = np.unique(text).tolist()
-    slices = dict(zip(symbols, zip(np.searchsorted(first, symbols).tolist(), np.searchsorted(first, symbols, "right").tolist(), strict=True), strict=True))
+    begun = BulkQueue(folder, columns, buffer)  # the S* suffixes by their first symbol
+    for start in range(0, len(stars), buffer):
+        part = np.asarray(stars[start : start + buffer])
+        begun.insert(np.asarray(text[part]).astype(np.int64), part.astype(kind), np.asarray(star_common[start : start + buffer]) if track else np.zeros(len(part), np.uint8))
+    symbols = _symbols(text)
     large, small = Sorted(folder, buffer, kind), Sorted(folder, buffer, kind)
 
-    def scan(queue: BulkQueue, since: _Since, symbol: int, found: np.ndarray, common: np.ndarray, rising: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Puts what these suffixes induce into the queue; returns what belongs to this very symbol."""
+    def scan(queue: BulkQueue, since: _Since, found: np.ndarray, common: np.ndarray, wanted, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Puts what these suffixes induce into the queue; returns what belongs to the symbol ``own``."""
         some = np.flatnonzero(found > 0)
         before = found[some].astype(np.int64) - 1
         t = np.asarray(text[before]).astype(np.int64)
-        good = (t >= symbol) if rising else (t <= symbol)
+        good = wanted(t)
         some, before, t = some[good], before[good], t[good]
         carried = since.entries(common, some, t) if track else np.zeros(len(some), np.uint8)
-        own = t == symbol
-        queue.insert(t[~own], before[~own].astype(kind), carried[~own])
-        return before[own].astype(kind), carried[own]
+        mine = t == own if own is not None else np.zeros(len(t), bool)
+        queue.insert(t[~mine], before[~mine].astype(kind), carried[~mine])
+        return before[mine].astype(kind), carried[mine]
+
+    def through(out: Sorted, queue: BulkQueue, since: _Since, symbol: int, wanted) -> int | None:
+        """Takes the queue's entries of the symbol, then in rounds what they induce for it; returns the last one."""
+        pieces, last = queue.take(symbol), None
+        while True:
+            following = []
+            for found, common in pieces:
+                out.add(symbol, found, common)
+                last = int(found[-1])
+                own = scan(queue, since, found, common, wanted, symbol)
+                if len(own[0]):
+                    following.append(own)
+            if not following:
+                return last
+            pieces = following
+
+    def joint(last: int | None, first: int) -> int:
+        return _common(text, last, first) if track and last is not None else 0
 
     queue, since = BulkQueue(folder, columns, buffer), _Since()
     if n:
         queue.insert(np.array([int(text[n - 1])]), np.array([n - 1], kind), np.zeros(1, np.uint8))
         since.last[int(text[n - 1])] = 0
     for symbol in symbols:
-        found, common = queue.take(symbol)
-        last = None
-        while len(found):
-            large.add(symbol, found, common)
-            last = int(found[-1])
-            found, common = scan(queue, since, symbol, found, common, True)
-        a, b = slices[symbol]
-        if b > a:
-            mine, common = stars[a:b], star_common[a:b].copy()
-            common[0] = _common(text, last, int(mine[0])) if track and last is not None else 0
+        last = through(large, queue, since, symbol, lambda t, symbol=symbol: t >= symbol)
+        for at, (mine, common) in enumerate(begun.take(symbol)):
+            if at == 0:
+                common = common.copy()
+                common[0] = joint(last, int(mine[0]))
             # the suffix before an S* suffix is larger: it never belongs to this symbol
-            scan(queue, since, symbol, mine.astype(kind), common, True)
+            scan(queue, since, mine, common, lambda t, symbol=symbol: t >= symbol, None)
     queue, since = BulkQueue(folder, columns, buffer), _Since()
     for symbol in reversed(symbols):
-        found, common = queue.take(symbol)
-        last = None
-        while len(found):
-            small.add(symbol, found, common)
+        last = through(small, queue, since, symbol, lambda t, symbol=symbol: t <= symbol)
+        for up, up_common in reversed(large.get(symbol)):
+            found = np.asarray(up)[::-1]
+            common = np.r_[np.uint8(joint(last, int(found[0]))), np.asarray(up_common)[:0:-1]]  # of each with the larger one before it
             last = int(found[-1])
-            found, common = scan(queue, since, symbol, found, common, False)
-        found, common = large.get(symbol)
-        if len(found):
-            found = found[::-1]
-            common = np.r_[np.uint8(0), common[:0:-1]]  # of each with the larger one before it in this order
-            common[0] = _common(text, last, int(found[0])) if track and last is not None else 0
-            some = np.flatnonzero(found > 0)
-            before = found[some].astype(np.int64) - 1
-            t = np.asarray(text[before]).astype(np.int64)
-            good = t < symbol
-            carried = since.entries(common, some[good], t[good]) if track else np.zeros(int(good.sum()), np.uint8)
-            queue.insert(t[good], before[good].astype(kind), carried)
+            scan(queue, since, found, common, lambda t, symbol=symbol: t < symbol, None)
     return symbols, large, small
 
 
@@ -282,44 +313,46 @@ def _by_doubling(names: np.ndarray, cap: int) -> np.ndarray:
 
 
 def _in_order(symbols: list[int], large: Sorted, small: Sorted):
-    """(positions, common prefixes) of all suffixes, ascending, one symbol at a time."""
+    """(whether of type S, positions, common prefixes) of all suffixes, ascending, in pieces. The first common prefix of a
+    piece is not told."""
     for symbol in symbols:
-        low, low_common = large.get(symbol)
-        high, high_common = small.get(symbol)
-        yield symbol, low, low_common, high[::-1], np.r_[np.uint8(0), high_common[:0:-1]] if len(high) else high_common
+        for positions, common in large.get(symbol):
+            yield False, np.asarray(positions), np.array(common, np.uint8)
+        for positions, common in reversed(small.get(symbol)):
+            yield True, np.asarray(positions)[::-1], np.r_[np.uint8(0), np.asarray(common)[:0:-1]]
 
 
-def sort_suffixes(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY, buffer: int = BUFFER, cap: int = CAP):
-    """Yields (positions, common) in suffix order; common is the prefix shared with the suffix before.
+def sort_suffixes(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY, buffer: int = BUFFER, cap: int = CAP, track: bool = True):
+    """Yields (positions, common) in suffix order; common is the prefix shared with the suffix before (0 without ``track``).
 
     Order and common prefixes are right for the first cap symbols (CAP at most); suffixes that share more may
-    stand in any order, and common may fall short of what they share beyond.
+    stand in any order, and common may fall short of what they share beyond. In memory are about ``buffer`` entries of each
+    queue and ``in_memory`` names; everything else is on disk in ``folder``.
     """
     stars = _sorted_stars(text, folder, in_memory, buffer, cap)
-    common = _neighbours(text, stars, cap)
+    common = _neighbours(text, stars, cap, folder) if track else None
     last = None
-    for _, low, low_common, high, high_common in _in_order(*induce(text, stars, common, folder, buffer)):
-        for positions, shared in ((low, low_common), (high, high_common)):
-            if len(positions):
-                shared = np.array(shared, np.uint8)
-                shared[0] = _common(text, last, int(positions[0])) if last is not None else 0
-                last = int(positions[-1])
-                yield positions, shared
+    for _, positions, shared in _in_order(*induce(text, stars, common, folder, buffer)):
+        shared[0] = _common(text, last, int(positions[0])) if track and last is not None else 0
+        last = int(positions[-1])
+        yield positions, shared
 
 
-def _neighbours(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+def _neighbours(text: np.ndarray, order: np.ndarray, cap: int, folder: str) -> np.ndarray:
     """Common prefixes, up to cap or a little more, of suffixes that follow each other in order.
 
     Eight symbols are compared at a time, as one little-endian number.
     """
-    out = np.zeros(len(order), np.uint8)
+    out = _on_disk(folder, len(order), np.uint8)
     if len(order) < 2 or text.dtype != np.uint8:
         return out
-    padded = np.concatenate([text, np.zeros(CAP + 16, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     n = len(text)
-    for start in range(1, len(order), 1 << 18):
-        a, b = order[start - 1 : start - 1 + (1 << 18)].astype(np.int64), order[start : start + (1 << 18)].astype(np.int64)
+    padded = _on_disk(folder, n + CAP + 16, np.uint8)
+    for start in range(0, n, 1 << 20):
+        padded[start : min(n, start + (1 << 20))] = text[start : start + (1 << 20)]
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    for start in range(1, len(order), 1 << 16):
+        a, b = order[start - 1 : start - 1 + (1 << 16)].astype(np.int64), order[start : start + (1 << 16)].astype(np.int64)
         a = a[: len(b)]
         length, open_ = np.zeros(len(b), np.int64), np.arange(len(b))
         for step in range(0, cap, 8):
@@ -335,44 +368,55 @@ def _neighbours(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+def _equal_to_before(text: np.ndarray, before: np.ndarray, here: np.ndarray, lengths_before: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each substring at here equals the one at before."""
+    same = lengths == lengths_before
+    todo = np.flatnonzero(same)
+    for step in range(int(lengths[same].max(initial=0))):
+        todo = todo[step < lengths[todo]]
+        if not len(todo):
+            break
+        differ = text[here[todo] + step] != text[before[todo] + step]
+        same[todo[differ]] = False
+        todo = todo[~differ]
+    return same
+
+
 def _sorted_stars(text: np.ndarray, folder: str, in_memory: int, buffer: int, cap: int) -> np.ndarray:
-    """The S* suffixes in order."""
-    stars = star_suffixes(text)
+    """The S* suffixes in order, on disk."""
+    stars = star_suffixes(text, folder)
     if len(stars) < 2:
         return stars
     # sort the S* substrings: an induction from S* in text order leaves the S suffixes sorted up to the next S*
-    symbols, large, small = induce(text, stars, None, folder, buffer)
-    is_star = np.zeros(len(text), bool)
-    is_star[stars] = True
-    order = [high[is_star[high]] for _, _, _, high, _ in _in_order(symbols, large, small)]
-    order = np.concatenate(order).astype(np.int64)
+    is_star = _on_disk(folder, len(text), bool)
+    for start in range(0, len(stars), buffer):
+        is_star[stars[start : start + buffer]] = True
+    order, filled = _on_disk(folder, len(stars), stars.dtype), 0
+    for small, positions, _ in _in_order(*induce(text, stars, None, folder, buffer)):
+        if small:
+            mine = positions[is_star[positions]]
+            order[filled : filled + len(mine)] = mine
+            filled += len(mine)
     # names: equal substrings (to the next S* or the end) get equal names
-    place = (np.cumsum(is_star, dtype=np.int32 if len(text) < 1 << 31 else np.int64) - 1)[order]
-    ends = np.r_[stars[1:] + 1, len(text)][place]
-    lengths = ends - order
-    same = np.r_[False, lengths[1:] == lengths[:-1]]
-    longest = int(lengths[same].max(initial=0))
-    todo = np.flatnonzero(same)
-    for step in range(longest):
-        todo = todo[step < lengths[todo]]
-        differ = text[order[todo] + step] != text[order[todo - 1] + step]
-        same[todo[differ]] = False
-        todo = todo[~differ]
-        if not len(todo):
-            break
-    # the last S* substring runs into the end, which is smaller than everything: it equals no other
-    final = np.flatnonzero(place == len(stars) - 1)
-    same[final] = False
-    same[final[final + 1 < len(order)] + 1] = False
-    names = np.empty(len(stars), np.int64)
-    names[place] = np.cumsum(~same) - 1
-    if names.max() + 1 == len(names):
+    names, name, block = _on_disk(folder, len(stars), np.int64), -1, min(buffer, 1 << 18)
+    last = len(stars) - 1
+    for start in range(0, len(stars), block):
+        here = np.asarray(order[max(0, start - 1) : start + block]).astype(np.int64)
+        place = np.searchsorted(stars, here)
+        lengths = np.where(place == last, len(text), stars[np.minimum(place + 1, last)].astype(np.int64) + 1) - here
+        same = _equal_to_before(text, here[:-1], here[1:], lengths[:-1], lengths[1:])
+        # the last S* substring runs into the end, which is smaller than everything: it equals no other
+        same &= (place[1:] != last) & (place[:-1] != last)
+        fresh = ~same if start else np.r_[True, ~same]
+        own = place[1:] if start else place
+        names[own] = name + np.cumsum(fresh)
+        name += int(fresh.sum())
+    if name + 1 == len(names):
         return order
     if len(names) <= in_memory:
-        return stars[_by_doubling(names, cap)]
-    path = os.path.join(folder, f"names-{len(names)}-{os.getpid()}")
-    names.tofile(path)
-    inner = np.memmap(path, np.int64, "r")
-    ranks = [p for p, _ in sort_suffixes(inner, folder, in_memory, buffer, cap)]
-    os.unlink(path)
-    return stars[np.concatenate(ranks).astype(np.int64)]
+        return stars[_by_doubling(np.asarray(names), cap)]
+    filled = 0
+    for ranks, _ in sort_suffixes(names, folder, in_memory, buffer, cap, track=False):
+        order[filled : filled + len(ranks)] = stars[ranks]
+        filled += len(ranks)
+    return order

@@ -29,6 +29,7 @@ place, and none of them is earlier. Empty tables give empty results; columns oth
 from __future__ import annotations
 
 import tempfile
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -256,7 +257,7 @@ class Shard:
     def __init__(self, folder: str):
         self.folder = folder
         self.text = open(f"{folder}/text", "wb")  # noqa: SIM115
-        self.size, self.starts, self.windows, self.docs, self.firsts = 0, [], [], [], []
+        self.size, self.starts, self.windows, self.docs, self.firsts = 0, *(array("q") for _ in range(4))
 
     def add(self, raw: bytes, windows: int, doc: int, first: int) -> None:
         self.text.write((np.frombuffer(raw, np.uint8) + np.uint8(1)).tobytes() + b"\0")
@@ -266,14 +267,14 @@ class Shard:
         self.firsts.append(first)
         self.size += len(raw) + 1
 
-    def covered(self, length: int, in_memory: int, buffer: int) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, window) for all windows that also start earlier, in order."""
+    def covered(self, length: int, in_memory: int, buffer: int) -> dict[int, list[dict]]:
+        """For each segment the runs of its windows that also start earlier."""
         self.text.close()
         if not self.starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return {}
         text = np.memmap(f"{self.folder}/text", np.uint8, "r")
-        starts, windows, docs, firsts = (np.array(x, np.int64) for x in (self.starts, self.windows, self.docs, self.firsts))
-        found: list[tuple] = []
+        starts, windows, docs, firsts = (np.frombuffer(x, np.int64) for x in (self.starts, self.windows, self.docs, self.firsts))
+        marked = np.memmap(f"{self.folder}/marked", bool, "w+", shape=(len(text),))
         tail = np.zeros(0, np.int64)
         for positions, common in sort_suffixes(text, self.folder, in_memory, buffer, cap=length):
             positions = positions.astype(np.int64)
@@ -291,34 +292,41 @@ class Shard:
             segment = np.searchsorted(starts, p, "right") - 1
             window = p - starts[segment]
             whole = window < windows[segment]
-            g, segment, window = g[whole], segment[whole], window[whole]
+            p, g, segment, window = p[whole], g[whole], segment[whole], window[whole]
             if not len(g):
                 continue
             doc, place = docs[segment], firsts[segment] + window
             order = np.lexsort((place, doc, g))
-            g, segment, window, doc, place = g[order], segment[order], window[order], doc[order], place[order]
+            p, g, doc, place = p[order], g[order], doc[order], place[order]
             head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             origin = np.repeat(head, np.diff(np.r_[head, len(g)]))
-            later = (doc != doc[origin]) | (place != place[origin])
-            found.append((segment[later], window[later]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key = np.unique(np.concatenate([s for s, _ in found]) << 32 | np.concatenate([w for _, w in found]))
-        return key >> 32, key & 0xFFFFFFFF
-
-
-def _ranges(segment: np.ndarray, window: np.ndarray) -> dict[int, list[dict]]:
-    """Runs of windows of each segment."""
-    if not len(segment):
-        return {}
-    new = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1)])
-    end = np.r_[new[1:], len(segment)] - 1
+            marked[p[(doc != doc[origin]) | (place != place[origin])]] = True
+        return _runs(marked, starts)
+
+
+def _runs(marked: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> dict[int, list[dict]]:
+    """The runs of marked places in each segment, counted from its start; a run never crosses the end of a segment."""
     out: dict[int, list[dict]] = {}
-    for s, a, b in zip(segment[new].tolist(), window[new].tolist(), window[end].tolist(), strict=True):
-        out.setdefault(s, []).append({"a": a, "b": b + 1})
+    open_ = None
+    for at in range(0, len(marked), block):
+        part = np.r_[False, marked[at : at + block], False]
+        change = np.flatnonzero(part[1:] != part[:-1]) + at
+        for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
+            if open_ is not None and open_[1] == a:
+                a = open_[0]
+            elif open_ is not None:
+                _told_run(out, starts, *open_)
+            open_ = (a, b)
+    if open_ is not None:
+        _told_run(out, starts, *open_)
     return out
 
 
+def _told_run(out: dict[int, list[dict]], starts: np.ndarray, a: int, b: int) -> None:
+    segment = int(np.searchsorted(starts, a, "right")) - 1
+    out.setdefault(segment, []).append({"a": a - int(starts[segment]), "b": b - int(starts[segment])})
+
+
 def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int) -> DataFrame:
     """Of rows (anchor, digest, doc, first, windows, raw): the covered windows of each."""
 
@@ -329,7 +337,7 @@ def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int
                 for doc, first, windows, raw in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
                     shard.add(raw, windows, doc, first)
                 names.append((batch.column(0), batch.column(1)))
-            ranges = _ranges(*shard.covered(length, in_memory, buffer))
+            ranges = shard.covered(length, in_memory, buffer)
         give_back()
         done = 0
         for anchor, digest in names:

@@ -27,6 +27,30 @@ def test_suffix_order_and_common_prefixes(options):
             assert shared[k] == n
 
 
+def test_a_shard_far_larger_than_memory(tmp_path):
+    """With bounds far below the text's length, recursion and queues go to disk: a text four times as long takes no more
+    memory, and comes out in order."""
+    import tracemalloc
+
+    dice = np.random.default_rng(3)
+    words = [bytes(dice.integers(97, 101, dice.integers(2, 6)).astype(np.uint8)) for _ in range(60)]
+    peaks = []
+    for many in (16000, 48000):
+        text = np.frombuffer(b" ".join(words[k] for k in dice.integers(0, 60, many)), np.uint8)
+        tracemalloc.start()
+        last, n, right = None, 0, True
+        for positions, _ in induced.sort_suffixes(text, str(tmp_path), in_memory=4000, buffer=10_000, cap=40):
+            for p in positions[:: max(1, len(positions) // 5)].tolist():
+                here = text[p : p + 40].tobytes()
+                right &= last is None or last <= here
+                last = here
+            n += len(positions)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert right and n == len(text) > 7 * 10_000
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def brute(rows, length=100):
     seen, out = {}, set()
     for i, t in sorted(rows):
