@@ -282,7 +282,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.binary()), pa.array(hashes, pa.binary())], ["host", "text", "subtree"])
 
     seen = rows.select("html", "host").mapInArrow(count, "host string, text binary, subtree binary").distinct()
-    per = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    per = keep(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")), "subtree-counts")
     # the row without a subtree counts the host's pages
     all_pages = per.where(F.length("subtree") == 0).select(F.col("host").alias("of"), F.col("n").alias("pages"))
     many = per.where((F.length("subtree") > 0) & (F.col("n") >= LEAST_PAGES)).join(all_pages, F.col("host") == F.col("of"))
