@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clashing.isEmpty():
         found = _with_groups(rows.drop("content"), groups)
     else:
-        apart = clashing.cache()
+        apart = keep(clashing, "clashing-digests")
         full = exact_groups(docs, id_col, text_col, salts, digest).join(apart, "digest", "left_semi")
         full = full.select(F.col("digest").alias("d"), F.col("content").alias("c"), "keep_id", "group_size")
         clear = _with_groups(rows.join(apart, "digest", "left_anti").drop("content"), groups)
@@ -92,7 +92,8 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
         kept = keep(exact_groups(docs, id_col, text_col).select("keep_id"), "exact-kept")
-        return docs.join(kept, F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"))
+        return packed.join(kept, F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
     kept = keep(exact_groups(docs, id_col, text_col).select("digest", "keep_id"), "exact-kept")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), sha256(normalised(F.col(text_col))).alias("_digest"))
     stay = packed.join(kept, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi")

@@ -39,3 +39,18 @@ def test_stage_keeps_one_row_of_each_text(frame):
     repeated = frame([(1, "x"), (1, "x"), (1, "y"), (2, "y"), (None, "z")])
     assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_exact(repeated).collect()) == [("1", "x"), ("1", "y"), ("None", "z")]
     assert exact_dedup.drop_exact(repeated).columns == repeated.columns
+
+
+def test_stages_bear_columns_with_the_names_that_they_use_themselves(spark, frame):
+    from girder.llm import jaccard_trees, language_id, suffix_dedup
+
+    names = ["keep_id", "component_id", "node", "label", "removed", "row", "id", "version", "mark", "first", "text_sha256"]
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, t, "en", *[f"{n}{k}" for n in names]) for k, t in enumerate([long, long, long + " more", "short text"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    for stage, kept in ((exact_dedup.drop_exact, {0, 2, 3}), (jaccard_trees.drop_near, {0, 3}), (suffix_dedup.drop_repeats, {0, 1, 2, 3})):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r.keep_id, r.row) for r in out.collect()} == {(k, f"keep_id{k}", f"row{k}") for k in kept}
+    model = language_id.fit(docs, docs.doc_id >= 0)
+    assert language_id.keep_known(docs, model).columns == docs.columns
