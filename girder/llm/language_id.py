@@ -219,7 +219,7 @@ def _kneser_ney(words: list[str], weight: np.ndarray) -> list[tuple]:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A calibrated model from the rows where ``learn`` holds; None if no such row has a language and text.
 
-    About sample_docs rows of each language are learned from: the choice is by hash of the id, and
+    About sample_docs rows of each language are learned from: the choice is by hash of id and text, and
     every fourth of the chosen rows serves the calibration only.
     """
     spark = docs.sparkSession
@@ -228,8 +228,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     if not shares:
         return None
     part = F.broadcast(spark.createDataFrame(shares, "lang string, share double"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(part, "lang").where(spread < F.col("share")).select("lang", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("calibrate"))
+    # by id and text: rows without an id, or with the same one, are chosen one by one
+    spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = rows.join(part, "lang").where(spread < F.col("share")).select("lang", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(4)) == 0).alias("calibrate"))
     chosen = keep(chosen, "language-sample")
     words = chosen.where("NOT calibrate").select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}[\\p{L}\\p{M}]*)', 1)")).alias("word"))
     counts: dict[str, dict[str, int]] = {}
