@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from girder.functions import geometry as geo
 from girder.operators.spatial import HIGH, LOW, cells, merged
+from girder.operators.traversal import materialise
 
 AXES = "xyz"
 POINT = [f"p{a}" for a in AXES]
@@ -113,9 +114,11 @@ def candidates(rays: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 def hits(rays: DataFrame, placed: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     """ray_id, sample_id, item_id, distance: every triangle hit of every ray, exact; triangles(repr_id, a, b, c) are local.
 
-    Distances are in lengths of the ray's direction.
+    Distances are in lengths of the ray's direction. Placed samples and candidates are written: both are read twice, and
+    each step is planned on its own.
     """
-    near = candidates(rays, placed_boxes(placed), size)
+    placed = materialise(placed)
+    near = materialise(candidates(rays, materialise(placed_boxes(placed)), size))
     rows = near.join(placed.select("sample_id", "item_id", "repr_id", *M), "sample_id").join(triangles.select("repr_id", "a", "b", "c"), "repr_id")
     own, ray = ["ray_id", "sample_id", "item_id"], [f"{k}{a}" for k in "od" for a in AXES]
 

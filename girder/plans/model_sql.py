@@ -60,8 +60,8 @@ PLACED = (
     "FROM turns t JOIN transforms USING (item_id) JOIN part ON p_partkey = repr_id)"
 )
 RAYS = (
-    "rays AS (SELECT s_suppkey AS ray_id, CAST(-60 AS DOUBLE) AS ox, CAST(0.37 + s_suppkey % 25 AS DOUBLE) AS oy, CAST(0.11 + (s_suppkey % 7) / 10 AS DOUBLE) AS oz, CAST(1 AS DOUBLE) AS dx, "
-    "CAST((s_suppkey % 11) * 0.0137 - 0.05 AS DOUBLE) AS dy, CAST((s_suppkey % 13) * 0.0002 + 0.0001 AS DOUBLE) AS dz FROM supplier)"
+    "rays AS (SELECT CAST(n_nationkey AS BIGINT) AS ray_id, CAST(-60 AS DOUBLE) AS ox, CAST(0.37 + n_nationkey % 25 AS DOUBLE) AS oy, CAST(0.11 - ((n_nationkey * 7) % 100 + 60) * 2.0 AS DOUBLE) AS oz, CAST(1 AS DOUBLE) AS dx, "
+    "CAST((n_nationkey % 11) * 0.0137 - 0.05 AS DOUBLE) AS dy, CAST((n_nationkey % 13) * 0.0002 + 2.0 AS DOUBLE) AS dz FROM nation)"
 )
 #: Rays in the frame of each sample, where its box is parallel to the axes.
 HITS = (

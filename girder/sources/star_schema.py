@@ -169,11 +169,11 @@ def placed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ray for each supplier: ray_id, origin and direction."""
-    k = F.col("s_suppkey")
-    return read(spark, sf_dir, "supplier").select(
-        k.alias("ray_id"), F.lit(-60.0).alias("ox"), (0.37 + k % 25).alias("oy"), (0.11 + (k % 7) / 10).alias("oz"),
-        F.lit(1.0).alias("dx"), ((k % 11) * 0.0137 - 0.05).alias("dy"), ((k % 13) * 0.0002 + 0.0001).alias("dz"),
+    """One ray for each nation: ray_id, origin and direction. It passes the heights of the model within half a unit of x."""
+    k = F.col("n_nationkey").cast("long")
+    return read(spark, sf_dir, "nation").select(
+        k.alias("ray_id"), F.lit(-60.0).alias("ox"), (0.37 + k % 25).alias("oy"), (0.11 - ((k * 7) % 100 + 60) * 2.0).alias("oz"),
+        F.lit(1.0).alias("dx"), ((k % 11) * 0.0137 - 0.05).alias("dy"), ((k % 13) * 0.0002 + 2.0).alias("dz"),
     )
 
 
