@@ -17,8 +17,10 @@ overlap is too small. Pairs of sets that survive are compared exactly. There are
    chunk with itself and with the hub. That is linear in the number of sets, and connects large groups of near copies.
 2. A key whose sets are all connected by now has no more to tell. Sets in other keys form groups (what is connected
    counts as one node). Trees over signatures alone, 512 bytes a set at most, join the sets of a group but for pairs that
-   are connected already; what they cannot rule out forms smaller groups, whose sets are then joined exactly. Large groups
-   are cut into blocks by size and hash, and pairs of blocks are separate tasks.
+   are connected already; what they cannot rule out forms smaller groups, whose sets are then joined exactly. In a large
+   group sets only meet by key: keys are dealt to buckets, and a set goes to those of its own keys, so a group of any size
+   costs what its sets have of keys. Only the sets of one key, where they are many, are cut into blocks by size and hash,
+   and pairs of blocks are separate tasks.
 
 jaccard_components() gives the components, jaccard_links() every link between different sets.
 
@@ -379,9 +381,9 @@ def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tu
     return work.groupBy("grp", "task").applyInPandas(join, "a long, b long")
 
 
-def _possible(source: DataFrame, classes: DataFrame, active: DataFrame, measure: Measure) -> DataFrame:
-    """low, known, label: the sets that signature trees leave in smaller groups. active: low, known, label."""
-    maybe = keep(_tasks(source, _in_blocks(classes, active, measure), measure, [(2, 2), (0, 1)], exact=False), "possible-links")
+def _possible(source: DataFrame, classes: DataFrame, active: DataFrame, keyed: DataFrame, measure: Measure) -> DataFrame:
+    """low, known, label: the sets that signature trees leave in smaller groups. active: low, known, label; keyed: low, key."""
+    maybe = keep(_tasks(source, _in_groups(classes, active, keyed, measure), measure, [(2, 2), (0, 1)], exact=False), "possible-links")
     return components(maybe).join(active.select("low", "known"), F.col("node") == F.col("low")).select("low", "known", "label")
 
 
@@ -397,8 +399,36 @@ def _around_hubs(classes: DataFrame, met: DataFrame) -> DataFrame:
     return dealt.join(classes, "low").select("id", "mark", "low", "high", F.col("low").alias("known"), "tasks")
 
 
+def _in_groups(classes: DataFrame, active: DataFrame, keyed: DataFrame, measure: Measure) -> DataFrame:
+    """The tasks of the second round. active: low, known, label (its group); keyed: low, key, of all keys in which two sets
+    that are to be joined can meet.
+
+    A group of a block at most is one task. In a larger one the sets of a key go to the key's bucket, a bucket holding
+    about a block; the sets of a key that would make up much of a bucket are a group of their own, cut into blocks.
+    """
+    sizes = [F.count(F.lit(1)).alias("sets"), F.sum(8 * F.col("n")).alias("bytes")]
+    weighed = active.join(classes.select("low", "n"), "low")
+    large = keep(weighed.groupBy("label").agg(*sizes).where((F.col("sets") > BLOCK_SETS) | (F.col("bytes") > BLOCK_BYTES)).select("label"), "large-groups")
+    if large.isEmpty():
+        discard(large)
+        return _in_blocks(classes, active, measure)
+    meeting = keep(weighed.join(large, "label").join(keyed.select("low", "key"), "low").select("label", "key", "low", "known", "n"), "keys-of-large-groups")
+    often = (4 * F.col("sets") > BLOCK_SETS) | (4 * F.col("bytes") > BLOCK_BYTES)
+    keys = keep(meeting.groupBy("label", "key").agg(*sizes).where("sets > 1").withColumn("often", often), "large-groups-keys")
+    buckets = F.greatest(F.ceil(F.sum("sets") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    rest = keys.where("NOT often").join(keys.where("NOT often").groupBy("label").agg(buckets.alias("buckets")), "label")
+    rest = rest.select("label", "key", F.pmod(F.xxhash64("key"), F.col("buckets")).alias("bucket"))
+    task = F.struct(F.col("label").alias("grp"), F.concat_ws("-", F.lit("key"), F.col("bucket")).alias("task"), F.lit(2).alias("side"))
+    in_buckets = meeting.join(rest, ["label", "key"]).select("low", "known", "label", "bucket").distinct().select("low", "known", F.array(task).alias("tasks"))
+    alone = meeting.join(keys.where("often").select("label", "key"), ["label", "key"]).select("low", "known", F.xxhash64("label", "key").alias("label"))
+    others = active.join(large, "label", "left_anti").select("low", "known", "label").unionByName(alone)
+    dealt = _in_blocks(classes, others, measure).select("low", "known", "tasks").unionByName(in_buckets)
+    dealt = dealt.groupBy("low").agg(F.first("known").alias("known"), F.flatten(F.collect_list("tasks")).alias("tasks"))
+    return dealt.join(classes, "low").select("id", "mark", "low", "high", "known", "tasks")
+
+
 def _in_blocks(classes: DataFrame, active: DataFrame, measure: Measure) -> DataFrame:
-    """The tasks of the second round. active: low, known, label (its group)."""
+    """Tasks in which all sets of a group meet. active: low, known, label (its group)."""
     band = sum((F.when(F.col("n") >= int(x), 1).otherwise(0) for x in measure.bands[1:90]), F.lit(0))
     sized = keep(active.join(classes, "low").withColumn("band", band), "active-sets")
     whole = sized.groupBy("label").agg(F.count(F.lit(1)).alias("all_sets"), F.sum(8 * F.col("n")).alias("all_bytes"))
@@ -450,12 +480,12 @@ def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, p
     # keys of sets that are not connected yet
     told = met.select("low", "key").join(near, F.col("low") == F.col("node"), "left").select("low", "key", known)
     open_keys = keep(told.groupBy("key").agg(F.min("known").alias("a"), F.max("known").alias("z")).where("a <> z").select("key", "a"), "open-keys")
-    open_sets = keep(told.join(open_keys, "key").select("low", "known", "a").distinct(), "open-sets")
+    open_sets = keep(told.join(open_keys, "key").select("low", "known", "key", "a"), "open-sets")
     discard(met, open_keys)
     groups = components(open_sets.select("known", "a").distinct().select("a", F.col("known").alias("b")))
     active = keep(open_sets.select("low", "known").distinct().join(groups, F.col("known") == F.col("node")).select("low", "known", "label"), "open-groups")
-    possible = _possible(source, classes, active, measure)
-    more = keep(_tasks(source, _in_blocks(classes, possible, measure), measure, [(2, 2), (0, 1)]), "links")
+    possible = _possible(source, classes, active, open_sets, measure)
+    more = keep(_tasks(source, _in_groups(classes, possible, open_sets, measure), measure, [(2, 2), (0, 1)]), "links")
     joined = components(links.unionAll(more))
     reached = classes.join(joined, F.col("low") == F.col("node"), "left").withColumn("label", F.coalesce("label", "low"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
@@ -492,8 +522,8 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
     groups = components(met.select("a", F.col("low").alias("b")).distinct())
     active = groups.select(F.col("node").alias("low"), F.col("node").alias("known"), "label")
-    possible = _possible(source, classes, active, measure)
-    found = _tasks(source, _in_blocks(classes, possible, measure), measure, [(2, 2), (0, 1)], every=True)
+    possible = _possible(source, classes, active, met, measure)
+    found = _tasks(source, _in_groups(classes, possible, met, measure), measure, [(2, 2), (0, 1)], every=True)
     links = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     members = sets.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("low")).alias("class"), F.col("n").alias("n_shingles")).join(counts, "class", "left")

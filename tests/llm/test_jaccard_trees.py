@@ -128,3 +128,26 @@ def test_all_links(frame, monkeypatch):
                 want.add(tuple(sorted((member[i]["class"], member[j]["class"]))))
         assert member[i].n_links == len(others) and member[i].n_shingles == len(s)
     assert {tuple(r) for r in links.collect()} == want
+
+
+def test_tasks_of_a_large_group_are_linear(spark, monkeypatch):
+    """Sets that a chain of keys connects go to the buckets of their keys, not to all blocks; who shares a key meets."""
+    monkeypatch.setattr(jt, "BLOCK_SETS", 8)
+    size = {}
+    for n in (64, 256):
+        classes = spark.createDataFrame([(k, k, k, k, 1, 50) for k in range(n)], "low long, high long, id long, mark long, copies long, n long")
+        active = spark.createDataFrame([(k, k, 0) for k in range(n)], "low long, known long, label long")
+        keys = [(k, key) for k in range(n) for key in {k, (k + 1) % n}] + [(k, 1000) for k in range(20)]
+        dealt = jt._in_groups(classes, active, spark.createDataFrame(keys, "low long, key long"), jt.Measure(3, 90, 100)).collect()
+        tasks = {r.low: {(t.grp, t.task): t.side for t in r.tasks} for r in dealt}
+        assert len(tasks) == len(dealt) == n
+        size[n] = sum(len(r.tasks) for r in dealt)
+        held = {}
+        for low, key in keys:
+            held.setdefault(key, []).append(low)
+        for sets in held.values():
+            for a in sets:
+                for b in sets:
+                    both = {(tasks[a][t], tasks[b][t]) for t in tasks[a].keys() & tasks[b].keys()}
+                    assert a == b or both & {(2, 2), (0, 1), (1, 0)}
+    assert size[256] < 5 * size[64]
