@@ -53,6 +53,7 @@ BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 CHUNK_SETS, CHUNK_BYTES = 256, 4 << 20  # of a hub's sets that are joined in one task
 BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20  # of a group's sets
 LEAF, FAN, BIT_WORDS = 8, 8, 64
+FEW_TASKS = 200_000  # entries of dealt sets that are broadcast to the texts, about 20 MB
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,8 +184,9 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
-def _sets(source: DataFrame, measure: Measure, part: int, parts: int) -> DataFrame:
-    """id, mark, n, low, high, and the keys of one part of the key space."""
+def _sets(source: DataFrame, measure: Measure, parts: int) -> DataFrame:
+    """id, mark, n, low, high, and the keys, those of each part of the key space in a column of their own."""
+    columns = [f"keys_{part}" for part in range(parts)]
 
     def run(batches):
         give_back()
@@ -192,26 +194,30 @@ def _sets(source: DataFrame, measure: Measure, part: int, parts: int) -> DataFra
             sets = shingle_sets([x or b"" for x in batch.column(2).to_pylist()], measure.width)
             digest = [_digest(s) for s in sets]
             keys = [measure.keys(s) for s in sets]
-            last = pa.array([k if parts == 1 else k[k % parts == part] for k in keys], pa.list_(pa.int64()))
+            dealt = [pa.array([k if parts == 1 else k[k % parts == part] for k in keys], pa.list_(pa.int64())) for part in range(parts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), last],
-                ["id", "mark", "n", "low", "high", "keys"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), *dealt],
+                ["id", "mark", "n", "low", "high", *columns],
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark long, n long, low long, high long, keys array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark long, n long, low long, high long, {', '.join(f'{c} array<long>' for c in columns)}")
 
 
-def _met(source: DataFrame, measure: Measure, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of all documents, without keys; low, key, a for every class and key of this part that another class has
-    too, a being the smallest of them."""
-    sets = keep(_sets(source, measure, part, parts), "shingle-sets")
-    one = keep(sets.where("n > 0").groupBy("low", "high").agg(F.first("keys").alias("keys")), "keys-of-classes")
+def _met(source: DataFrame, measure: Measure, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents, without keys; low, key, a for every class and key that another class has too, a being
+    the smallest of them. Texts are cut into shingles once; a round holds the exploded keys of one part only."""
+    sets = keep(_sets(source, measure, parts), "shingle-sets")
     slim = keep(sets.select("id", "mark", "n", "low", "high"), "sets")
+    found = []
+    for part in range(parts):
+        one = keep(sets.where("n > 0").groupBy("low", "high").agg(F.first(f"keys_{part}").alias("keys")), "keys-of-classes")
+        keyed = one.select("low", F.explode("keys").alias("key"))
+        shared = keep(keyed.groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("key", "a"), "shared-keys")
+        found.append(keep(keyed.join(shared, "key").select("low", "key", "a"), "meetings"))
+        discard(one, shared)
     discard(sets)
-    keyed = one.select("low", F.explode("keys").alias("key"))
-    shared = keep(keyed.groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("z")).where("a <> z").select("key", "a"), "shared-keys")
-    met = keep(keyed.join(shared, "key").select("low", "key", "a"), "meetings")
-    discard(one, shared)
+    met = functools.reduce(DataFrame.unionAll, found)
+    met._kept = [path for each in found for path in each._kept]
     return slim, met
 
 
@@ -346,7 +352,10 @@ TASK = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
 def _tasks(source: DataFrame, dealt: DataFrame, measure: Measure, pairs: list[tuple[int, int]], every: bool = False, exact: bool = True) -> DataFrame:
     """a, b: links found by the tasks. dealt: id, mark, low, high, known, tasks (array of grp, task, side) of sets; the
     pairs of sides are joined in every task, by the sets themselves or by their signatures."""
+    dealt = keep(dealt, "dealt-sets")
     marked = dealt.withColumnRenamed("id", "its_id").withColumnRenamed("mark", "its_mark")
+    if dealt.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).first()[0] <= FEW_TASKS:
+        marked = F.broadcast(marked)  # else all texts would be dealt out to meet a few sets
     wanted = source.join(marked, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))).select("text", "low", "high", "known", "tasks")
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -455,13 +464,7 @@ def _in_blocks(classes: DataFrame, active: DataFrame, measure: Measure) -> DataF
 def _prepared(docs: DataFrame, measure: Measure, id_col: str, text_col: str, parts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The source with each document once, the sets of documents, one row for each class, and where classes meet."""
     source = _source(docs, id_col, text_col)
-    sets, met = _met(source, measure, 0, parts)
-    for part in range(1, parts):
-        again, more = _met(source, measure, part, parts)
-        discard(again)
-        both = met.unionAll(more)
-        both._kept = met._kept + more._kept
-        met = both
+    sets, met = _met(source, measure, parts)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
     classes = sets.groupBy("low", "high").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     classes = keep(classes.select("low", "high", "first.id", "first.mark", "copies", "n"), "set-classes")
@@ -496,7 +499,7 @@ def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, p
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links num/den or more.
 
-    parts: rounds in which the key space is gone through; each round holds 1/parts of the keys on disk.
+    parts: rounds in which the key space is gone through; each round deals out 1/parts of the keys.
     """
     told = _per_document(*_components(docs, Measure(width, num, den), id_col, text_col, parts))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first.id"))

@@ -151,3 +151,35 @@ def test_tasks_of_a_large_group_are_linear(spark, monkeypatch):
                     both = {(tasks[a][t], tasks[b][t]) for t in tasks[a].keys() & tasks[b].keys()}
                     assert a == b or both & {(2, 2), (0, 1), (1, 0)}
     assert size[256] < 5 * size[64]
+
+
+def test_texts_are_cut_into_shingles_once(frame, monkeypatch):
+    """However many parts the key space has; sets that are too many to be broadcast are dealt out by shuffle."""
+    calls, real = [], jt._sets
+    monkeypatch.setattr(jt, "_sets", lambda *args: calls.append(args) or real(*args))
+    monkeypatch.setattr(jt, "FEW_TASKS", -1)
+    rows = corpus(7)
+    got = {tuple(r) for r in jt.jaccard_components(frame(rows), 5, 80, 100, parts=3).collect()}
+    assert got == brute(rows, 5, 80, 100) and len(calls) == 1
+
+
+def test_a_few_sets_do_not_deal_out_all_texts(frame, capsys):
+    """Where few sets are to be joined, their texts are found by a broadcast."""
+    source = jt._source(frame([(k, f"a b c {k}") for k in range(9)]), "doc_id", "text")
+    dealt = jt._sets(source, jt.Measure(3, 90, 100), 1).selectExpr("id", "mark", "low", "high", "low AS known", "array(named_struct('grp', 1L, 'task', 'all', 'side', 2)) AS tasks")
+    found = jt._tasks(source, dealt, jt.Measure(3, 90, 100), [(2, 2)])
+    found.explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out and found.count() == 0
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from girder.llm import graph
+
+    rounds, real = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, name: rounds.append(name) or real(df, name))
+    nodes = list(range(200))
+    random.Random(3).shuffle(nodes)
+    edges = [*zip(nodes, nodes[1:], strict=False), (2000, 2001), (2002, 2002), (None, 5)]
+    got = {(r.node, r.label) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in nodes} | {(2000, 2000), (2001, 2000), (2002, 2002)}
+    assert rounds.count("labels-heard") <= 8  # 58 if labels only pass along edges
