@@ -15,7 +15,8 @@ document of smaller id, or earlier in the same one. Strings are judged on the in
    together. WIDTHS gets smaller while a group is too large; at 1 all windows of a group are equal and need no sorting.
    Equal parts are combined as in 2.
 4. The kinds of segments of all other anchors get their bytes. A shard holds all segments of its anchors; they are
-   written to disk and their suffixes sorted by induced sorting with common prefixes. Suffixes that share ``length``
+   written to disk, less the windows at their ends whose hash no other window of the shard has, and their suffixes sorted
+   by induced sorting with common prefixes. Suffixes that share ``length``
    bytes are neighbours; all but the first in the corpus are covered. There are so many shards that each has about
    SHARD bytes, and none of its anchors more than GROUP, whatever the corpus: that bounds a task's memory.
 5. The covered windows of each segment go back to its places (at later places of a segment all are covered),
@@ -28,6 +29,7 @@ place, and none of them is earlier. Empty tables give empty results; columns oth
 
 from __future__ import annotations
 
+import os
 import tempfile
 from array import array
 
@@ -239,18 +241,43 @@ def _with_bytes(joined: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in small_batches(batches, 1):
-            out: list[tuple] = []
-            for doc, text, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s in segments:
-                    raw = text[s["first"] : s["first"] + s["windows"] + length - 1]
-                    out.append((s["anchor"], s["digest"], doc, s["first"], s["windows"], raw))
-            for start in range(0, len(out), 20_000):
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[start : start + 20_000], strict=True), kinds, strict=True)], ["anchor", "digest", "doc", "first", "windows", "raw"])
+            lists, texts = batch.column(2), batch.column(1).to_pylist()
+            anchor, digest, first, windows = lists.flatten().flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            stop = first.to_numpy() + windows.to_numpy() + (length - 1)
+            raw = [texts[k][a:b] for k, a, b in zip(owner.tolist(), first.to_pylist(), stop.tolist(), strict=True)]
+            columns = [anchor, digest, batch.column(0).take(pa.array(owner)), first, windows, pa.array(raw, pa.binary())]
+            for start in range(0, len(raw), 20_000):
+                yield pa.RecordBatch.from_arrays([c.slice(start, 20_000) for c in columns], ["anchor", "digest", "doc", "first", "windows", "raw"])
 
     return joined.mapInArrow(run, "anchor long, digest long, doc long, first int, windows int, raw binary")
 
 
+def _alone(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment its first window that another place of the shard may have too, and the first after the last such.
+
+    Windows are told apart by a hash: what it leaves out has no equal, what it keeps goes to the sort."""
+    up, down = _powers(1 << len(text).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(up[: len(text)] * SPREAD[text])]
+    ends = np.cumsum(windows)
+    which = np.repeat(np.arange(len(starts), dtype=np.int32), windows)
+    at = np.arange(len(which)) + np.repeat(starts - ends + windows, windows)
+    hashes = mix((sums[at + length] - sums[at]) * down[at])
+    del sums, at
+    order = np.sort(hashes)
+    twice = order[1:][order[1:] == order[:-1]]
+    low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    if not len(twice):
+        return low, high
+    place = np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)
+    met = np.flatnonzero(twice[place] == hashes)
+    own = which[met]
+    first, last = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), np.flatnonzero(np.r_[own[1:] != own[:-1], True])
+    begin = (ends - windows)[own[first]]
+    low[own[first]], high[own[first]] = met[first] - begin, met[last] - begin + 1
+    return low, high
+
+
 class Shard:
     """The segments of one shard, on disk: symbols (byte + 1, 0 after each segment) and a table of places."""
 
@@ -267,6 +294,32 @@ class Shard:
         self.firsts.append(first)
         self.size += len(raw) + 1
 
+    def trimmed(self, length: int, in_memory: int) -> tuple[Shard, np.ndarray, np.ndarray]:
+        """The shard without the windows at both ends of a segment that occur nowhere else in it, and without segments
+        that have no others; of each segment that stays, its number here and the windows cut off before it. A shard of
+        more than in_memory bytes stays as it is, for the sort alone is external."""
+        self.text.close()
+        if self.size > in_memory:
+            return self, np.arange(len(self.starts)), np.zeros(len(self.starts), np.int64)
+        folder = f"{self.folder}/trimmed"
+        os.mkdir(folder)
+        new = Shard(folder)
+        if not self.starts:
+            return new, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = np.fromfile(f"{self.folder}/text", np.uint8)
+        starts, windows, docs, firsts = (np.frombuffer(x, np.int64) for x in (self.starts, self.windows, self.docs, self.firsts))
+        low, high = _alone(text, starts, windows, length)
+        stay = np.flatnonzero(low < high)
+        begin, many = (starts + low)[stay], (high - low)[stay]
+        for a, n in zip(begin.tolist(), many.tolist(), strict=True):
+            new.text.write(text[a : a + n + length - 1].tobytes() + b"\0")
+        sizes = many + length
+        new.size = int(sizes.sum())
+        for name, values in (("starts", np.cumsum(sizes) - sizes), ("windows", many), ("docs", docs[stay]), ("firsts", (firsts + low)[stay])):
+            getattr(new, name).frombytes(values.astype(np.int64).tobytes())
+        os.unlink(f"{self.folder}/text")
+        return new, stay, low[stay]
+
     def covered(self, length: int, in_memory: int, buffer: int) -> dict[int, list[dict]]:
         """For each segment the runs of its windows that also start earlier."""
         self.text.close()
@@ -328,7 +381,7 @@ def _told_run(out: dict[int, list[dict]], starts: np.ndarray, a: int, b: int) ->
 
 
 def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int) -> DataFrame:
-    """Of rows (anchor, digest, doc, first, windows, raw): the covered windows of each."""
+    """Of rows (anchor, digest, doc, first, windows, raw): the covered windows of those that have any."""
 
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
@@ -337,13 +390,17 @@ def _sorted_shards(segments: DataFrame, length: int, in_memory: int, buffer: int
                 for doc, first, windows, raw in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
                     shard.add(raw, windows, doc, first)
                 names.append((batch.column(0), batch.column(1)))
-            ranges = shard.covered(length, in_memory, buffer)
+            small, numbers, cut = shard.trimmed(length, in_memory)
+            ranges = small.covered(length, in_memory, buffer)
+        found = {int(numbers[k]): [{"a": r["a"] + int(cut[k]), "b": r["b"] + int(cut[k])} for r in runs] for k, runs in ranges.items()}
         give_back()
         done = 0
         for anchor, digest in names:
-            mine = pa.array([ranges.get(done + k, []) for k in range(len(anchor))], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            some = [k for k in range(len(anchor)) if done + k in found]
+            mine = pa.array([found[done + k] for k in some], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
             done += len(anchor)
-            yield pa.RecordBatch.from_arrays([anchor, digest, mine], ["anchor", "digest", "covered"])
+            if some:
+                yield pa.RecordBatch.from_arrays([anchor.take(pa.array(some)), digest.take(pa.array(some)), mine], ["anchor", "digest", "covered"])
 
     return segments.mapInArrow(run, "anchor long, digest long, covered array<struct<a:int,b:int>>")
 

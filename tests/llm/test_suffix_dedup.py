@@ -118,3 +118,29 @@ def test_a_hot_anchor_is_split_and_results_are_the_same(frame):
     for group in (4000, 300):
         got = {(r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.suffix_dedup(frame(hot_corpus()), group=group).collect()}
         assert got == brute(hot_corpus())
+
+
+def test_only_windows_that_may_recur_are_sorted(tmp_path):
+    """Segments that share an anchor and no whole window do not reach the sort; what is covered stays the same."""
+    dice = random.Random(11)
+    anchor, passage = dice.randbytes(16), dice.randbytes(130)
+    segments = [dice.randbytes(80) + anchor + dice.randbytes(80) for _ in range(40)]
+    segments += [dice.randbytes(30) + passage + dice.randbytes(30), passage + dice.randbytes(60), b"x" * 150]
+
+    def shard(name):
+        (tmp_path / name).mkdir()
+        out = suffix_dedup.Shard(str(tmp_path / name))
+        for doc, raw in enumerate(segments):
+            out.add(raw, len(raw) - 99, doc, 0)
+        return out
+
+    small, numbers, cut = shard("trimmed").trimmed(100, 1 << 22)
+    assert numbers.tolist() == [40, 41, 42] and cut.tolist() == [30, 0, 0]
+    assert small.size == 131 + 131 + 151
+    runs = {int(numbers[k]): [(r["a"] + int(cut[k]), r["b"] + int(cut[k])) for r in v] for k, v in small.covered(100, 1 << 22, 1 << 20).items()}
+    whole, every, none = shard("whole").trimmed(100, 10)
+    assert every.tolist() == list(range(43)) and not none.any() and whole.size == sum(map(len, segments)) + 43
+    assert runs == {k: [(r["a"], r["b"]) for r in v] for k, v in whole.covered(100, 1 << 22, 1 << 20).items()}
+    assert runs == {41: [(0, 31)], 42: [(1, 51)]}
+    empty, numbers, _ = suffix_dedup.Shard(str(tmp_path / "whole")).trimmed(100, 1 << 22)
+    assert empty.covered(100, 1 << 22, 1 << 20) == {} and not len(numbers)
