@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -96,24 +97,19 @@ class _Tokens:
         cut = pc.ascii_split_whitespace(pa.array([_plain(t) for t in texts], pa.large_binary()).view(pa.large_string()))
         words = cut.flatten().dictionary_encode()
         distinct = words.dictionary.view(pa.large_binary()).to_pylist()
-        get = self.known.get
-        ids = [get(w) for w in distinct]
+        ids = list(map(self.known.get, distinct))
         new = [k for k, x in enumerate(ids) if x is None]
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
             for k, got in zip(part, self.tokenizer.encode_batch_fast([distinct[k].decode() for k in part], add_special_tokens=False), strict=True):
-                ids[k] = np.array(got.ids, self.kind).tobytes()
+                ids[k] = array(self.kind.char, got.ids).tobytes()
         if room := max(0, MEMORY - len(self.known)):
             self.known.update([(distinct[k], ids[k]) for k in new if len(distinct[k]) <= LONG][:room])
-        which = words.indices.to_numpy()
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        each = lengths[which]
-        ends = np.cumsum(each)
-        begins = (np.cumsum(lengths) - lengths)[which] - ends + each
-        out = flat[np.repeat(begins, each) + np.arange(int(each.sum()))].tobytes()
-        stops = np.r_[0, ends][np.cumsum(cut.value_lengths().to_numpy())] * self.kind.itemsize if len(texts) else np.zeros(0, np.int64)
-        return [out[a:b] for a, b in zip(np.r_[0, stops[:-1]].tolist(), stops.tolist(), strict=True)]
+        out = pa.array(ids, pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1] if len(out) else np.zeros(1, np.int64)
+        data = out.buffers()[2].to_pybytes() if len(out) else b""
+        stops = ends[np.r_[0, np.cumsum(cut.value_lengths().to_numpy())]].tolist()
+        return [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def keys(self, ids: list[bytes]) -> np.ndarray:
         """The curve keys of documents."""

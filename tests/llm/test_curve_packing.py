@@ -49,3 +49,15 @@ def test_pieces(frame):
     for r in out[out.doc_id == 102].itertuples():
         assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
     assert curve_packing.pieces(frame([]), PATH).count() == 0
+
+
+def test_new_words_take_no_array_each(monkeypatch):
+    """Many words seen for the first time; empty and blank texts between; ids as the tokenizer gives them."""
+    tokens = curve_packing._Tokens(PATH)
+    texts = [b"", " ".join(f"Wort{k}, né{k}." for k in range(500)).encode(), b" \n\t", b"a", b""]
+    calls, real = [], np.array
+    monkeypatch.setattr(np, "array", lambda *args, **options: calls.append(args) or real(*args, **options))
+    got = [np.frombuffer(x, tokens.kind).tolist() for x in tokens.encode(texts)]
+    assert len(calls) < 10
+    assert got == [tokens.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert tokens.encode([]) == [] and tokens.encode([b"", b" "]) == [b"", b""]
