@@ -63,8 +63,8 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-#: A full stop or comma between an ASCII letter and white space is a piece of its own.
-STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+#: ASCII signs but for apostrophes, between an ASCII letter and white space, are a piece of their own.
+STOP = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 
 
 def _plain(text: bytes) -> bytes:

@@ -61,3 +61,17 @@ def test_new_words_take_no_array_each(monkeypatch):
     assert len(calls) < 10
     assert got == [tokens.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
     assert tokens.encode([]) == [] and tokens.encode([b"", b" "]) == [b"", b""]
+
+
+def test_signs_after_a_word_make_no_new_words():
+    """Runs of signs before white space are cut off the word, so fewer words are to be remembered; no id changes."""
+    tokens = curve_packing._Tokens(PATH)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    dice = random.Random(8)
+    words = [dice.choice(["ab", "É", "Zé", "x1", "7", "don't", "e\u0301"]) + "".join(dice.choices(signs, k=dice.randrange(4))) + dice.choice([" ", "\n", "  ", "s ", "\u0338 ", "\u00a0", "\t"]) for _ in range(4000)]
+    texts = ["".join(words[k : k + 40]) for k in range(0, 4000, 40)] + [f"ab{a}{b} cd{a}\nef{b}{a}" for a in signs for b in signs]
+    got = [np.frombuffer(x, tokens.kind).tolist() for x in tokens.encode([t.encode() for t in texts])]
+    assert got == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens.known.clear()
+    tokens.encode([" ".join(f"word{a}" for a in signs if a != "'").encode() + b"!! "])
+    assert len([w for w in tokens.known if w.startswith(b"word")]) == 1
