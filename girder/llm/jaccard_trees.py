@@ -39,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, give_back, keep, small_batches
@@ -150,11 +150,23 @@ class Measure:
                 return count, least, count - differ - 1
         return differ + 1, 0, 0
 
+    def differ(self, total: int) -> int:
+        """The most members in which linked sets with this many members together differ; it grows with the total."""
+        return total * (self.den - self.num) // (self.num + self.den)
+
     def keys(self, members: np.ndarray) -> np.ndarray:
         """The keys of a set, by sorted hashes of its members."""
+        return self.keyed(members)[0]
+
+    def keyed(self, members: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys of a set, and how many of them it shares at least with every set that it is linked with.
+
+        Of two linked sets each range in which they differ costs a member, so all others agree. A range that agrees has
+        a key in both if it is full in one; where all ranges are told, the other set may leave out its surplus.
+        """
         if not len(members):
-            return np.zeros(0, np.int64)
-        own, out = self.band(len(members)), []
+            return np.zeros(0, np.int64), 0
+        own, out, sure = self.band(len(members)), [], {}
         spread, salted = members >> np.uint64(32), mix(members ^ np.uint64(0xD6E8FEB86659FD93))
         for band in {own, max(0, own - 1)}:
             count, least, surplus = self.ranges(band)
@@ -167,10 +179,21 @@ class Measure:
                 every = np.zeros(count, np.uint64)
                 every[place.astype(np.int64)] = inside
                 place, inside = np.arange(count, dtype=np.uint64), every
+                sure[band] = count - surplus
             else:
                 place, inside = place[full], inside[full]
+                sure[band] = len(place)
             out.append(mix(inside + mix(place + np.uint64(band) * np.uint64(1 << 40) + np.uint64(1))))
-        return np.concatenate(out).view(np.int64)
+        return np.concatenate(out).view(np.int64), self._least(len(members), own, sure)
+
+    def _least(self, n: int, own: int, sure: dict[int, int]) -> int:
+        """sure: for each band in which a set of this band and size has keys, how many of them are compared for certain."""
+        most = n * self.den // self.num
+        same = self.differ(n + min(most, int(self.bands[own + 1]) - 1))
+        least = [sure[own] - self.differ(n + most), sum(max(0, k - same) for k in sure.values())]
+        if own:
+            least.append(sure[own - 1] - self.differ(n + int(self.bands[own]) - 1))
+        return max(1, min(least))
 
 
 def _digest(members: np.ndarray) -> tuple[int, int]:
@@ -185,7 +208,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(source: DataFrame, measure: Measure, parts: int) -> DataFrame:
-    """id, mark, n, low, high, and the keys, those of each part of the key space in a column of their own."""
+    """id, mark, n, least, low, high, and the keys, those of each part of the key space in a column of their own."""
     columns = [f"keys_{part}" for part in range(parts)]
 
     def run(batches):
@@ -193,21 +216,21 @@ def _sets(source: DataFrame, measure: Measure, parts: int) -> DataFrame:
         for batch in small_batches(batches, 2, 1 << 20):
             sets = shingle_sets([x or b"" for x in batch.column(2).to_pylist()], measure.width)
             digest = [_digest(s) for s in sets]
-            keys = [measure.keys(s) for s in sets]
+            keys, least = zip(*(measure.keyed(s) for s in sets), strict=True)
             dealt = [pa.array([k if parts == 1 else k[k % parts == part] for k in keys], pa.list_(pa.int64())) for part in range(parts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), *dealt],
-                ["id", "mark", "n", "low", "high", *columns],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.int64()), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), *dealt],
+                ["id", "mark", "n", "least", "low", "high", *columns],
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark long, n long, low long, high long, {', '.join(f'{c} array<long>' for c in columns)}")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark long, n long, least long, low long, high long, {', '.join(f'{c} array<long>' for c in columns)}")
 
 
 def _met(source: DataFrame, measure: Measure, parts: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents, without keys; low, key, a for every class and key that another class has too, a being
     the smallest of them. Texts are cut into shingles once; a round holds the exploded keys of one part only."""
     sets = keep(_sets(source, measure, parts), "shingle-sets")
-    slim = keep(sets.select("id", "mark", "n", "low", "high"), "sets")
+    slim = keep(sets.select("id", "mark", "n", "least", "low", "high"), "sets")
     found = []
     for part in range(parts):
         one = keep(sets.where("n > 0").groupBy("low", "high").agg(F.first(f"keys_{part}").alias("keys")), "keys-of-classes")
@@ -221,6 +244,46 @@ def _met(source: DataFrame, measure: Measure, parts: int) -> tuple[DataFrame, Da
     return slim, met
 
 
+def _of_several(left: DataFrame) -> DataFrame:
+    """low, known, key, a, often: the rows whose key sets of several known have, a being the smallest of these, often how
+    many rows the key has."""
+    keys = left.groupBy("key").agg(F.min("known").alias("a"), F.max("known").alias("z"), F.count(F.lit(1)).alias("often"))
+    return keep(left.join(keys.where("a <> z").select("key", "a", "often"), "key").select("low", "known", "key", "a", "often"), "meetings-of-several")
+
+
+def _enough(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """low, known, key, a, often: met (low, known, key, kept) without the sets that share fewer keys with sets of another
+    known than any link with one takes, and then without the keys that are left to one known.
+
+    Both sets of a link stay, with all keys that they share. Goes on as long as a tenth of the rows goes.
+    """
+    before, rows = met.count(), 0
+    while True:
+        shared = met.groupBy("low").agg(F.count(F.lit(1)).alias("shared"))
+        enough = shared.join(classes.select("low", "least"), "low").where("shared >= least").select("low").distinct()
+        left = keep(met.join(enough, "low").select("low", "known", "key"), "sets-that-share-enough")
+        discard(met)
+        met = _of_several(left)
+        discard(left)
+        rows = met.count()
+        if 10 * rows >= 9 * before:
+            return met
+        before = rows
+
+
+def _rarest(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """What _enough() returns, without the keys of each set that most sets have: as many as may go such that the sets of a
+    link, which share ``least`` keys, still share one. All sets have their keys in the same order, so if each leaves out
+    its last ``least - 1``, the first key that two share stays in both."""
+    own = Window.partitionBy("low")
+    ranked = met.join(classes.select("low", "least"), "low").select("low", "known", "key", "least", F.row_number().over(own.orderBy("often", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("shared"))
+    left = keep(ranked.where("place <= shared - least + 1").select("low", "known", "key"), "rarest-keys")
+    discard(met)
+    out = _of_several(left)
+    discard(left)
+    return out
+
+
 def signature(members: np.ndarray) -> bytes:
     """The token bitmap of a set: the places of its bits if these are shorter, else all bits."""
     places = np.unique((members >> np.uint64(6)) % np.uint64(BIT_WORDS) << np.uint64(6) | members & np.uint64(63)).astype("<u2")
@@ -466,8 +529,11 @@ def _prepared(docs: DataFrame, measure: Measure, id_col: str, text_col: str, par
     source = _source(docs, id_col, text_col)
     sets, met = _met(source, measure, parts)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
-    classes = sets.groupBy("low", "high").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    classes = keep(classes.select("low", "high", "first.id", "first.mark", "copies", "n"), "set-classes")
+    classes = sets.groupBy("low", "high").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"))
+    classes = keep(classes.select("low", "high", "first.id", "first.mark", "copies", "n", "least"), "set-classes")
+    each = met.select("low", F.col("low").alias("known"), "key")
+    each._kept = met._kept
+    met = _enough(each, classes)
     if not sets.groupBy("id", "mark").count().where("count > 1").isEmpty():
         source = source.groupBy("id", "mark").agg(F.first("text").alias("text"))
     return source, sets, classes, met
@@ -485,6 +551,7 @@ def _components(docs: DataFrame, measure: Measure, id_col: str, text_col: str, p
     open_keys = keep(told.groupBy("key").agg(F.min("known").alias("a"), F.max("known").alias("z")).where("a <> z").select("key", "a"), "open-keys")
     open_sets = keep(told.join(open_keys, "key").select("low", "known", "key", "a"), "open-sets")
     discard(met, open_keys)
+    open_sets = _rarest(_enough(open_sets, classes), classes)
     groups = components(open_sets.select("known", "a").distinct().select("a", F.col("known").alias("b")))
     active = keep(open_sets.select("low", "known").distinct().join(groups, F.col("known") == F.col("node")).select("low", "known", "label"), "open-groups")
     possible = _possible(source, classes, active, open_sets, measure)
@@ -523,6 +590,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     every document. One round, in which no pair is left out for being connected."""
     measure = Measure(width, num, den)
     source, sets, classes, met = _prepared(docs, measure, id_col, text_col, parts)
+    met = _rarest(met, classes)
     groups = components(met.select("a", F.col("low").alias("b")).distinct())
     active = groups.select(F.col("node").alias("low"), F.col("node").alias("known"), "label")
     possible = _possible(source, classes, active, met, measure)

@@ -183,3 +183,47 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     got = {(r.node, r.label) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(k, 0) for k in nodes} | {(2000, 2000), (2001, 2000), (2002, 2002)}
     assert rounds.count("labels-heard") <= 8  # 58 if labels only pass along edges
+
+
+def test_linked_sets_share_as_many_keys_as_they_tell():
+    import numpy as np
+
+    dice, more = random.Random(6), 0
+    for num in (50, 80, 90):
+        measure = jt.Measure(3, num, 100)
+        for _ in range(300):
+            n = int(2 ** dice.uniform(0, 9))
+            a = {dice.getrandbits(64) for _ in range(n)}
+            b = set(a)
+            for _ in range(dice.randrange(0, n * (100 - num) // 100 + 2)):
+                b.discard(next(iter(b))) if dice.random() < 0.5 and len(b) > 1 else b.add(dice.getrandbits(64))
+            if measure.linked(len(a & b), len(a), len(b)):
+                (one, least), (two, also) = (measure.keyed(np.array(sorted(s), np.uint64)) for s in (a, b))
+                assert len(set(one.tolist()) & set(two.tolist())) >= max(least, also)
+                more += least > 1
+    assert more > 100
+
+
+def test_sets_that_share_a_passage_only_are_not_joined(frame, monkeypatch):
+    """Texts that have a tenth in common meet in keys, but in fewer than a link takes: no task holds them."""
+    dealt, real = [], jt._tasks
+    monkeypatch.setattr(jt, "_tasks", lambda source, sets, *args, **more: dealt.append(sets.count()) or real(source, sets, *args, **more))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(500)) + " " + passage) for i in range(30)]
+    rows += [(i, rows[i - 100][1] + " at the end") for i in range(100, 103)]
+    got = {tuple(r) for r in jt.jaccard_components(frame(rows), 5, 80, 100, parts=3).collect()}
+    assert got == brute(rows, 5, 80, 100) and dealt[0] <= 30 and sum(dealt[1:]) == 0
+
+
+def test_sets_of_a_link_keep_a_common_key(spark):
+    """However many keys a set leaves out, any two that share ``least`` keep one; the most common keys go."""
+    dice = random.Random(8)
+    keys = {low: {k for k in range(40) if dice.random() < (k + 5) / 50} for low in range(30)}
+    classes = spark.createDataFrame([(low, 12) for low in keys], "low long, least long")
+    met = jt.keep(spark.createDataFrame([(low, low, k) for low, own in keys.items() for k in own], "low long, known long, key long"), "met")
+    left = {low: set() for low in keys}
+    rows = jt._rarest(jt._enough(met, classes), classes).collect()
+    for r in rows:
+        left[r.low].add(r.key)
+    assert all(left[a] & left[b] for a in keys for b in keys if a != b and len(keys[a] & keys[b]) >= 12)
+    assert len(rows) < sum(map(len, keys.values())) - 30 * 8
