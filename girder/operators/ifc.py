@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators import traversal
+from girder.sources import step_text as step
 
 #: For relation classes, the places of the relating and of the related argument (from 0), as the schema has them.
 RELATION_PLACES = {
@@ -33,22 +34,26 @@ def relation_pairs(parsed: DataFrame, arguments) -> DataFrame:
     rows = arguments(parsed.where(F.col("type").isin(*RELATION_PLACES)))
     one, many = (F.create_map(*[F.lit(x) for t, p in RELATION_PLACES.items() for x in (t, p[k])]) for k in (0, 1))
 
-    def ids(place):
-        return F.transform(F.regexp_extract_all(F.element_at("each", place + 1), F.lit(r"#(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    def ids(each, place):
+        return F.transform(F.regexp_extract_all(F.element_at(each, place[F.col("type")] + 1), F.lit(r"#(\d+)"), F.lit(1)), lambda x: x.cast("long"))
 
-    return rows.select("type", F.explode(ids(one[F.col("type")])).alias("relating"), ids(many[F.col("type")]).alias("list")).select("type", "relating", F.explode("list").alias("related"))
+    def tied(each):
+        return step.bound(ids(each, many), lambda related: F.flatten(F.transform(ids(each, one), lambda a: F.transform(related, lambda b: F.struct(a.alias("relating"), b.alias("related"))))))
+
+    # arguments are named once, so each statement's are split once
+    return rows.select("type", F.explode(step.bound(F.col("each"), tied)).alias("pair")).select("type", "pair.relating", "pair.related")
 
 
 def relations(pairs: DataFrame) -> DataFrame:
     """src_id, name, dst_id in both directions."""
     forward, back = (F.create_map(*[F.lit(x) for t, n in RELATION_NAMES.items() for x in (t, n[k])])[F.col("type")] for k in (0, 1))
-    return pairs.select(F.col("relating").alias("src_id"), forward.alias("name"), F.col("related").alias("dst_id")).unionAll(
-        pairs.select(F.col("related").alias("src_id"), back.alias("name"), F.col("relating").alias("dst_id"))
-    )
+    both = [F.struct(F.col(a).alias("src_id"), name.alias("name"), F.col(b).alias("dst_id")) for a, name, b in (("relating", forward, "related"), ("related", back, "relating"))]
+    return pairs.select(F.explode(F.array(*both)).alias("r")).select("r.*")
 
 
 def element_clusters(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, cluster: elements that openings, fillings or aggregates tie together belong in one file."""
+    elements = traversal.materialise(elements.select("id"))  # read three times
     links = pairs.where(F.col("type").isin(*LINKING)).select(F.col("relating").alias("a"), F.col("related").alias("b"))
     inside = links.join(elements.select(F.col("id").alias("a")), "a", "left_semi").join(elements.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     return traversal.clusters(elements.select("id"), inside)

@@ -43,6 +43,12 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return cleaned.where(F.col("statement").rlike(HEAD))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a select names is written out wherever a later one uses it, in
+    lambdas for each element, but a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parsed(lines: DataFrame, column: str = "statement") -> DataFrame:
     """id, type, args, refs and the statement. References inside strings count; id 0 and references to itself do not."""
     me = F.regexp_extract(column, HEAD, 1).try_cast("long")
@@ -50,7 +56,8 @@ def parsed(lines: DataFrame, column: str = "statement") -> DataFrame:
     rows = lines.where(F.col(column).rlike(HEAD)).select(
         me.alias("id"), F.regexp_extract(column, HEAD, 2).alias("type"), F.regexp_extract(column, r"^[^(]*\((.*)\)[^)]*$", 1).alias("args"), refs.alias("all_refs"), F.col(column).alias("statement")
     )
-    return rows.where("id > 0").select("id", "type", "args", F.filter("all_refs", lambda x: (x > 0) & (x != F.col("id"))).alias("refs"), "statement")
+    others = bound(F.col("id"), lambda i: F.filter("all_refs", lambda x: (x > 0) & (x != i)))
+    return rows.where("id > 0").select("id", "type", "args", others.alias("refs"), "statement")
 
 
 def split_arguments(text: str | None) -> list[str]:
@@ -77,25 +84,28 @@ def with_arguments(rows: DataFrame, column: str = "args", name: str = "each") ->
     Commas and brackets in quotes are hidden first; pieces between commas are counted through once, and an argument
     starts with every piece at depth 0. Control characters 1 to 3 do not occur in STEP text.
     """
-    keep = list(rows.columns)
     hidden = F.array_join(F.transform(F.split(column, "'"), lambda x, i: F.when(i % 2 == 1, F.translate(x, ",()", HIDDEN)).otherwise(x)), "'")
-    rows = rows.select(*keep, F.split(F.coalesce(hidden, F.lit("")), ",").alias("_pieces"))
 
     def deeper(piece: Column) -> Column:
         return F.length(F.translate(piece, ")", "")) - F.length(F.translate(piece, "(", ""))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"))
-    state = F.aggregate(
-        "_pieces",
-        first,
-        lambda s, p: F.struct((s["at"] + 1).alias("at"), (s["depth"] + deeper(p)).alias("depth"), F.when(s["depth"] == 0, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts")),
-        lambda s: s["starts"],
-    )
-    rows = rows.select(*keep, "_pieces", state.alias("_starts"))
-    size = F.size("_pieces")
-    each = F.transform("_starts", lambda a, k: F.trim(F.translate(F.array_join(F.slice("_pieces", a + 1, F.coalesce(F.get("_starts", k + 1), size) - a), ","), HIDDEN, ",()")))
-    rows = rows.select(*keep, each.alias("_each"))
-    return rows.select(*keep, F.when(F.element_at("_each", -1) == "", F.slice("_each", 1, F.size("_each") - 1)).otherwise(F.col("_each")).alias(name))
+    def starts(pieces: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            pieces,
+            first,
+            lambda s, p: F.struct((s["at"] + 1).alias("at"), (s["depth"] + deeper(p)).alias("depth"), F.when(s["depth"] == 0, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts")),
+            lambda s: s["starts"],
+        )
+
+    def cut(pieces: Column, begins: Column) -> Column:
+        return F.transform(begins, lambda a, k: F.trim(F.translate(F.array_join(F.slice(pieces, a + 1, F.coalesce(F.get(begins, k + 1), F.size(pieces)) - a), ","), HIDDEN, ",()")))
+
+    def ended(each: Column) -> Column:
+        return F.when(F.element_at(each, -1) == "", F.slice(each, 1, F.size(each) - 1)).otherwise(each)
+
+    each = bound(F.split(F.coalesce(hidden, F.lit("")), ","), lambda pieces: bound(starts(pieces), lambda begins: bound(cut(pieces, begins), ended)))
+    return rows.select("*", each.alias(name))
 
 
 def star_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,14 @@ def test_nodes_reached_twice_are_taken_once(spark):
     kinds = spark.createDataFrame([(1, "P"), (2, "S"), (3, "W")], "local_id long, category string")
     found = importer.spatial_nodes(edges, kinds.where(F.col("local_id") == 1), kinds)
     assert {(r.local_id, r.parent_node_id) for r in found.where("local_id IS NOT NULL").collect()} == {(1, "root/P"), (2, "1/S"), (3, "1/W")}
+
+
+def test_arguments_of_relations_are_split_once(spark):
+    lines = ["#1=IFCRELAGGREGATES('g',$,'a,(b',$,#5,(#6,#7))", "#2=IFCRELCONTAINEDINSPATIALSTRUCTURE('h',$,$,$,(#8,#9),#5)", "#3=IFCWALL('x',#1)", "#4=IFCRELNESTS('i',$,$,$,#5,())"]
+    parsed = step.parsed(spark.createDataFrame([(s,) for s in lines], "statement string"))
+    pairs = ifc.relation_pairs(parsed, step.with_arguments)
+    assert sorted(map(tuple, pairs.collect())) == [("IFCRELAGGREGATES", 5, 6), ("IFCRELAGGREGATES", 5, 7), ("IFCRELCONTAINEDINSPATIALSTRUCTURE", 5, 8), ("IFCRELCONTAINEDINSPATIALSTRUCTURE", 5, 9)]
+    found = ifc.relations(pairs)
+    assert found.count() == 8
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 3  # the generator, and the filter that is inferred from it
