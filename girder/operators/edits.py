@@ -39,20 +39,20 @@ def read_overlay(base: DataFrame, log: DataFrame, entity: str, payload: str) ->
     return both.where("action IS NULL OR action <> 'DELETE'").select("local_id", F.when(F.col("action").isNull(), F.col(payload)).otherwise(F.col("_new")).alias(payload))
 
 
-def commit(base: DataFrame, log: DataFrame, entity: str, payload: str) -> DataFrame:
-    """local_id, payload: as saved. Deletes win; the last update replaces; creates of ids that exist are ignored."""
+def commit(base: DataFrame, log: DataFrame, entity: str, payload: str, keys: tuple[str, ...] = ("local_id",)) -> DataFrame:
+    """keys, payload: as saved. Deletes win; the last update replaces; creates of ids that exist are ignored."""
     rows = of(log, entity)
-    state = rows.groupBy("local_id").agg(
+    state = rows.groupBy(*keys).agg(
         F.max(F.col("action") == "DELETE").alias("deleted"),
         F.max(F.col("action") == "CREATE").alias("created"),
         F.max(F.col("action") == "UPDATE").alias("updated"),
         F.max_by(payload, F.when(F.col("action") == "UPDATE", F.col("seq"))).alias("_updated"),
         F.min_by(payload, F.when(F.col("action") == "CREATE", F.col("seq"))).alias("_created"),
     )
-    both = base.select("local_id", payload, F.lit(True).alias("there")).join(state, "local_id", "full_outer")
+    both = base.select(*keys, payload, F.lit(True).alias("there")).join(state, list(keys), "full_outer")
     kept = both.where("NOT coalesce(deleted, false) AND (there OR created)")
     value = F.when(F.coalesce("updated", F.lit(False)), F.col("_updated")).when(F.col("there"), F.col(payload)).otherwise(F.col("_created"))
-    return kept.select("local_id", value.alias(payload))
+    return kept.select(*keys, value.alias(payload))
 
 
 def overlay_ids(base: DataFrame, log: DataFrame, entity: str) -> DataFrame:

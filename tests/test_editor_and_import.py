@@ -37,6 +37,23 @@ def test_batch_with_temporary_ids(spark):
     assert {r.item_id for r in editor.affected_items(tables(spark)["SAMPLE"], solved).collect()} == {1}
 
 
+def test_allocated_ids_do_not_meet_those_in_use(spark):
+    """next_id lies below ids in use: what is created is beside what had its number."""
+    asked = [
+        {"seq": 1, "type": "CREATE_ITEM", "temp_id": "a", "value": 2.0},
+        {"seq": 2, "type": "CREATE_SAMPLE", "temp_id": "s", "item_temp": "a", "repr_id": 6, "material_id": 5},
+        {"seq": 3, "type": "DELETE_SAMPLE", "local_id": 10},
+        {"seq": 4, "type": "UPDATE_ITEM", "local_id": 2, "value": 9.0},
+        {"seq": 5, "type": "UPDATE_SAMPLE", "temp_id": "s", "item_temp": "a", "repr_id": 6, "material_id": 5},
+    ]
+    solved = editor.solve_ids(requests(spark, asked), 10)  # item 10, sample 11
+    base = tables(spark) | {"ITEM": spark.createDataFrame([(1, 0.0), (2, 0.0), (10, 0.0)], "local_id long, value double")}
+    after = editor.apply_batch(base, solved)
+    assert sorted(map(tuple, after["SAMPLE"].collect())) == [(11, 2, 6, 5), (11, 10, 6, 5)]
+    assert sorted(map(tuple, after["ITEM"].collect())) == [(1, 0.0), (2, 9.0), (10, 0.0), (10, 2.0)]
+    assert editor.affected_items(base["SAMPLE"], solved).collect() == [(1,)]
+
+
 def test_what_is_missing_is_an_error(spark):
     with pytest.raises(Exception, match="unknown temporary id"):
         editor.solve_ids(requests(spark, [{"seq": 1, "type": "CREATE_SAMPLE", "temp_id": "s", "item_temp": "nobody"}]), 100).collect()
