@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from girder.functions import mesh_kernels as kernels
 
@@ -54,21 +57,61 @@ def ray_hits(triangles: DataFrame, origin: tuple, direction: tuple) -> DataFrame
     return rows.where("_u >= 0 AND _v >= 0 AND _u + _v <= 1 AND distance >= 0").drop("_det", "_u", "_v")
 
 
+def _contours(flat: np.ndarray) -> list[tuple[bool, list, float]]:
+    """closed, points and area of the contours of segments (n, 2, 2)."""
+    out = []
+    for chain, closed in kernels.stitch(flat):
+        area = abs(sum(x * v - u * y for (x, y), (u, v) in zip(chain, chain[1:] + chain[:1], strict=True))) / 2 if closed else 0.0
+        out.append((closed, chain, area))
+    return out
+
+
 def section_contours(segments: DataFrame, key: str, axes: tuple[str, str]) -> DataFrame:
-    """key, closed, points, area of the contours that a section's segments (p, q) of each key form."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.array([[[s[x] for x in axes] for s in (r.p, r.q)] for r in pdf.itertuples(index=False)], float)
-        rows = []
-        for chain, closed in kernels.stitch(flat):
-            xy = np.array(chain)
-            nxt = np.roll(xy, -1, 0)
-            area = abs(float((xy[:, 0] * nxt[:, 1] - nxt[:, 0] * xy[:, 1]).sum())) / 2 if closed else 0.0
-            rows.append((pdf[key].iloc[0], closed, [[float(x), float(y)] for x, y in chain], area))
-        return pd.DataFrame(rows, columns=[key, "closed", "points", "area"])
-
-    kind = segments.schema[key].dataType.simpleString()
-    return segments.select(key, "p", "q").groupBy(key).applyInPandas(run, f"{key} {kind}, closed boolean, points array<array<double>>, area double")
+    """key, closed, points, area of the contours that a section's segments (p, q) of each key form.
+
+    Keys come in order, many in a batch; the segments of a batch's last key wait for the next batch, so a task holds a batch
+    and the segments of one key.
+    """
+    own = segments.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(own)
+        last, waiting = None, []
+
+        def told(keys: list, found: list) -> pa.RecordBatch:
+            flat = [p for _, chain, _ in found for p in chain]
+            ends = np.concatenate([[0], np.cumsum([len(chain) for _, chain, _ in found])]).astype(np.int32)
+            pairs = pa.ListArray.from_arrays(np.arange(0, 2 * len(flat) + 1, 2, dtype=np.int32), pa.array(np.array(flat, float).reshape(-1)))
+            columns = [pa.array(keys, kind), pa.array([c for c, _, _ in found], pa.bool_()), pa.ListArray.from_arrays(ends, pairs), pa.array([a for _, _, a in found], pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, [key, "closed", "points", "area"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], 1)
+            runs = pc.run_end_encode(batch.column(0))
+            ends, names, start = runs.run_ends.to_pylist(), runs.values.to_pylist(), 0
+            keys, found = [], []
+            for name, end in zip(names, ends, strict=True):
+                if waiting and name != last:
+                    done = _contours(np.concatenate(waiting))
+                    keys += [last] * len(done)
+                    found += done
+                    waiting = []
+                last = name
+                waiting.append(flat[start:end])
+                start = end
+            if found:
+                yield told(keys, found)
+        if waiting:
+            done = _contours(np.concatenate(waiting))
+            yield told([last] * len(done), done)
+
+    sides = [F.col(f"{e}.{x}").cast("double").alias(f"_{e}{k}") for e in "pq" for k, x in enumerate(axes)]
+    # a number, so that small rows are not put together into few tasks
+    tasks = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * segments.sparkSession.sparkContext.defaultParallelism)
+    ordered = segments.select(key, *sides).repartition(tasks, key).sortWithinPartitions(key)
+    return ordered.mapInArrow(run, f"`{key}` {own.simpleString()}, closed boolean, points array<array<double>>, area double")
 
 
 def geometry_keys(triangles: DataFrame, key: str = "repr_id") -> DataFrame:

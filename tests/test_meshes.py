@@ -65,3 +65,23 @@ def test_models(spark, tmp_path):
     both = full["models"].unionByName(spark.createDataFrame([("n", "g", '{"crs":{"a":1}}', 1, 3.0, 0.0, 0.0)], models.SCHEMAS["models"]))
     assert {r.model_id: r.dx for r in models.aligned(both, "m").collect()} == {"m": 0.0, "n": -3.0}
     assert {r.model_id: r.crs for r in models.coordinate_system(both).collect()} == {"m": None, "n": '{"a":1}'}
+
+
+def squares(spark, keys, kind):
+    sides = [((0, 0), (1, 0)), ((1, 1), (1, 0)), ((1, 1), (0, 1)), ((0, 1), (0, 0))]
+    point = lambda p, n: {"x": p[0] * float(n), "y": p[1] * float(n), "z": 0.0}
+    rows = [(k, point(p, n + 1), point(q, n + 1)) for p, q in sides for n, k in enumerate(keys)]
+    return spark.createDataFrame(rows, f"k {kind}, p struct<x:double,y:double,z:double>, q struct<x:double,y:double,z:double>")
+
+
+def test_contours_of_keys_that_batches_cut(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for keys, kind in ((list(range(20)), "long"), (["a", None, "b"], "string")):
+            found = meshes.section_contours(squares(spark, keys, kind), "k", ("x", "y"))
+            assert {r.k: (r.closed, len(r.points), round(r.area, 3)) for r in found.collect()} == {k: (True, 4, float((n + 1) ** 2)) for n, k in enumerate(keys)}
+            assert found.count() == len(keys)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # a call for each key
