@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,28 +16,46 @@ from girder.functions import mesh_kernels as kernels
 POINT = "struct<x:double,y:double,z:double>"
 
 
-def _points(each) -> np.ndarray:
-    return np.array([[p["x"], p["y"], p["z"]] for p in each], float).reshape(-1, 3)
+def _numbers(points: pa.Array) -> np.ndarray:
+    """(n, 3) of a flat array of points."""
+    return np.stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3)], 1) if len(points) else np.zeros((0, 3))
 
 
-def _structs(points: np.ndarray) -> list[dict]:
-    return [{"x": float(p[0]), "y": float(p[1]), "z": float(p[2])} for p in points]
+def _structs(points: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in range(3)], "xyz")
 
 
 def triangles_of_shells(shells: DataFrame) -> DataFrame:
-    """repr_id, face, a, b, c of shells(repr_id, points, profiles, holes array<struct<profile_id,idx>>)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                points = _points(r.points)
-                for face, profile in enumerate(r.profiles):
-                    holes = [list(h["idx"]) for h in (r.holes if r.holes is not None else ()) if h["profile_id"] == face]
-                    rows += [(r.repr_id, face, *_structs(points[list(t)])) for t in kernels.triangulate(points, list(profile), holes)]
-            yield pd.DataFrame(rows, columns=["repr_id", "face", "a", "b", "c"])
-
-    return shells.select("repr_id", "points", "profiles", "holes").mapInPandas(run, f"repr_id long, face int, a {POINT}, b {POINT}, c {POINT}")
+    """repr_id, face, a, b, c of shells(repr_id, points, profiles, holes array<struct<profile_id,idx>>).
+
+    A few files of small rows can hold very many shells, so these are dealt out first; points stay Arrow arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = dict(zip(batch.schema.names, batch.columns, strict=True))
+            flat = _numbers(each["points"].flatten())
+            sizes = pc.fill_null(pc.list_value_length(each["points"]), 0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            shell, face, corners = [], [], []
+            for n, (profiles, holes) in enumerate(zip(each["profiles"].to_pylist(), each["holes"].to_pylist(), strict=True)):
+                low = int(starts[n])
+                points = flat[low : starts[n + 1]].tolist()
+                inside: dict[int, list] = {}
+                for h in holes or ():
+                    inside.setdefault(h["profile_id"], []).append(h["idx"])
+                for f, profile in enumerate(profiles or ()):
+                    for t in kernels.triangulate(points, profile, inside.get(f, ())):
+                        shell.append(n)
+                        face.append(f)
+                        corners.append((low + t[0], low + t[1], low + t[2]))
+            at = np.array(corners, np.int64).reshape(-1, 3)
+            columns = [each["repr_id"].take(pa.array(shell, pa.int64())).cast(pa.int64()), pa.array(face, pa.int32()), *[_structs(flat[at[:, k]]) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, ["repr_id", "face", "a", "b", "c"])
+
+    tasks = max(int(shells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * shells.sparkSession.sparkContext.defaultParallelism)
+    dealt = shells.select("repr_id", "points", "profiles", "holes").repartition(tasks, "repr_id")  # a number, so that small rows are not put together again
+    return dealt.mapInArrow(run, f"repr_id long, face int, a {POINT}, b {POINT}, c {POINT}")
 
 
 def ray_hits(triangles: DataFrame, origin: tuple, direction: tuple) -> DataFrame:

@@ -85,3 +85,13 @@ def test_contours_of_keys_that_batches_cut(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # a call for each key
+
+
+def test_shells_of_one_file_are_dealt_to_many_tasks(spark):
+    corners = [{"x": float(x), "y": float(y), "z": 0.0} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (1, 1), (3, 1), (3, 3), (1, 3))]
+    kind = "repr_id long, points array<struct<x:double,y:double,z:double>>, profiles array<array<int>>, holes array<struct<profile_id:int,idx:array<int>>>"
+    rows = [(k, corners, [[0, 1, 2, 3]], [(0, [4, 5, 6, 7])] if k % 2 else None) for k in range(50)] + [(50, [], [], None)]
+    t = meshes.triangles_of_shells(spark.createDataFrame(rows, kind).coalesce(1))
+    area = F.abs((F.col("b.x") - F.col("a.x")) * (F.col("c.y") - F.col("a.y")) - (F.col("c.x") - F.col("a.x")) * (F.col("b.y") - F.col("a.y"))) / 2
+    assert {r.repr_id: r.area for r in t.groupBy("repr_id").agg(F.round(F.sum(area), 6).alias("area")).collect()} == {k: 12.0 if k % 2 else 16.0 for k in range(50)}
+    assert t.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
