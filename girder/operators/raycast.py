@@ -25,7 +25,7 @@ M = [n for column in MATRIX for n in column]
 def placed_samples(samples: DataFrame, transforms: DataFrame, representations: DataFrame) -> DataFrame:
     """Samples with their matrix (global x local) and local box; samples(sample_id, item_id, repr_id, lpx ... lyz: position, x
     and y direction), transforms(item_id, gpx ... gyz), representations(repr_id, box). Components that are not finite count as 0."""
-    joined = samples.join(transforms, "item_id").join(representations, "repr_id")
+    joined = samples.join(representations.hint("merge"), "repr_id").join(transforms, "item_id")  # boxes are larger than their file tells
     own = ["sample_id", "item_id", "repr_id", *LOW, *HIGH]
     names = [f"{k}{c}" for k in "gl" for c in (*POINT, *ACROSS, *UP)]
     rows = joined.select(*own, *[geo.finite(F.col(c)).alias(c) for c in names])
@@ -115,11 +115,12 @@ def hits(rays: DataFrame, placed: DataFrame, triangles: DataFrame, size: float)
     """ray_id, sample_id, item_id, distance: every triangle hit of every ray, exact; triangles(repr_id, a, b, c) are local.
 
     Distances are in lengths of the ray's direction. Placed samples and candidates are written: both are read twice, and
-    each step is planned on its own.
+    each step is planned on its own. What is joined is far larger than the files that it comes from tell (twelve triangles for
+    a row of two numbers), so no side is sent to the driver to be broadcast.
     """
     placed = materialise(placed)
     near = materialise(candidates(rays, materialise(placed_boxes(placed)), size))
-    rows = near.join(placed.select("sample_id", "item_id", "repr_id", *M), "sample_id").join(triangles.select("repr_id", "a", "b", "c"), "repr_id")
+    rows = near.hint("merge").join(placed.select("sample_id", "item_id", "repr_id", *M), "sample_id").join(triangles.select("repr_id", "a", "b", "c").hint("merge"), "repr_id")
     own, ray = ["ray_id", "sample_id", "item_id"], [f"{k}{a}" for k in "od" for a in AXES]
 
     def world(p: str) -> list[Column]:
@@ -138,9 +139,12 @@ def hits(rays: DataFrame, placed: DataFrame, triangles: DataFrame, size: float)
     rows = rows.select(*own, *ray, *world("a"), *world("b"), *world("c"))
     rows = rows.select(*own, *vector("d"), *named("e", less("b", "a")), *named("f", less("c", "a")), *named("s", less("o", "a")))
     rows = rows.select(*own, *vector("d"), *vector("e"), *vector("f"), *vector("s"), *named("p", geo.cross(vector("d"), vector("f"))), *named("w", geo.cross(vector("s"), vector("e"))))
-    rows = rows.select(*own, *vector("d"), *vector("f"), *vector("s"), *vector("p"), *vector("w"), geo.dot(vector("e"), vector("p")).alias("det")).where(F.abs("det") > 1e-12)
-    found = rows.select(*own, (geo.dot(vector("s"), vector("p")) / F.col("det")).alias("u"), (geo.dot(vector("d"), vector("w")) / F.col("det")).alias("v"), (geo.dot(vector("f"), vector("w")) / F.col("det")).alias("distance"))
-    return found.where("u >= 0 AND v >= 0 AND u + v <= 1 AND distance >= 0").select(*own, "distance")
+    rows = rows.select(*own, *vector("d"), *vector("f"), *vector("s"), *vector("p"), *vector("w"), geo.dot(vector("e"), vector("p")).alias("det"))
+    shares = [F.when(F.abs("det") > 1e-12, geo.dot(vector(a), vector(b)) / F.col("det")).alias(n) for n, a, b in (("u", "s", "p"), ("v", "d", "w"), ("distance", "f", "w"))]
+    # the task's number keeps the filter above these steps: moved below them, it would hold every product many times over, in
+    # a method too long for the JVM to compile
+    found = rows.select(*own, *shares, F.spark_partition_id().alias("task"))
+    return found.where("u >= 0 AND v >= 0 AND u + v <= 1 AND distance >= 0 AND task >= 0").select(*own, "distance")
 
 
 def all_hits(found: DataFrame) -> DataFrame:

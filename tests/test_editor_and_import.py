@@ -148,3 +148,18 @@ def test_arguments_of_relations_are_split_once(spark):
     assert found.count() == 8
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") <= 3  # the generator, and the filter that is inferred from it
+
+
+def test_exact_hits_send_no_side_to_the_driver(spark):
+    box = [(1, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0), (2, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    shapes = spark.createDataFrame(box, "repr_id long, minx double, miny double, minz double, maxx double, maxy double, maxz double")
+    axes = {"gx": (1.0, 0.0, 0.0), "gy": (0.0, 1.0, 0.0), "lx": (1.0, 0.0, 0.0), "ly": (0.0, 1.0, 0.0), "lp": (0.0, 0.0, 0.0)}
+    turns = {f"{k}{a}": F.lit(x) for k, v in axes.items() for a, x in zip("xyz", v, strict=True)}
+    samples = spark.createDataFrame([(10, 1, 1), (11, 2, 2)], "sample_id long, item_id long, repr_id long").withColumns({k: v for k, v in turns.items() if k[0] == "l"})
+    items = spark.createDataFrame([(1, 5.0, 0.0, 0.0), (2, 20.0, 0.0, 0.0)], "item_id long, gpx double, gpy double, gpz double").withColumns({k: v for k, v in turns.items() if k[0] == "g"})
+    rays = spark.createDataFrame([(0, 0.0, 0.6, 0.7, 1.0, 0.0, 0.0), (1, 0.0, 1.6, 0.7, 1.0, 0.0, 0.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    found = raycast.hits(rays, raycast.placed_samples(samples, items, shapes), spatial.box_triangles(shapes), 4.0)
+    assert sorted(tuple(r) for r in raycast.all_hits(found).collect()) == [(0, 10, 1, 5.0), (0, 11, 2, 20.0), (1, 10, 1, 5.0)]
+    query = found._jdf.queryExecution()
+    assert "Broadcast" not in query.executedPlan().toString()
+    assert query.optimizedPlan().toString().count(" * ") < 100  # each product once, so the JVM compiles the step
