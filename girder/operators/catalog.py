@@ -24,11 +24,15 @@ def categories(items: DataFrame, created: DataFrame | None = None) -> DataFrame:
 
 
 def categories_of(asked: DataFrame, items: DataFrame, created: DataFrame) -> DataFrame:
-    """pos, local_id, category: of stored items, else of created ones; null in its place where there is none."""
+    """pos, local_id, category: of stored items, else of created ones; null in its place where there is none.
+
+    Both sides are dealt by id and meet by merge, so what is asked for is in no task as a whole, and categories are chosen in
+    the order in which the ids come.
+    """
     both = items.select("local_id", "category", F.lit(0).alias("late")).unionAll(created.select("local_id", "category", F.lit(1).alias("late")))
-    wanted = both.join(asked.select("local_id").distinct(), "local_id", "left_semi")
+    wanted = both.join(asked.select("local_id").hint("merge"), "local_id", "left_semi")
     first = wanted.groupBy("local_id").agg(F.min_by("category", "late").alias("category"))
-    return asked.join(first, "local_id", "left").select("pos", "local_id", "category")
+    return asked.join(first.hint("merge"), "local_id", "left").select("pos", "local_id", "category")
 
 
 def relation_names(edges: DataFrame) -> DataFrame:

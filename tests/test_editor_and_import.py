@@ -163,3 +163,13 @@ def test_exact_hits_send_no_side_to_the_driver(spark):
     query = found._jdf.queryExecution()
     assert "Broadcast" not in query.executedPlan().toString()
     assert query.optimizedPlan().toString().count(" * ") < 100  # each product once, so the JVM compiles the step
+
+
+def test_categories_are_found_without_a_broadcast(spark):
+    items = spark.createDataFrame([(1, "A"), (2, "B")], "local_id long, category string")
+    created = spark.createDataFrame([(2, "LATE"), (3, "C")], "local_id long, category string")
+    asked = spark.createDataFrame([(0, 2), (1, 3), (2, 2), (3, 9), (4, None)], "pos long, local_id long")
+    found = catalog.categories_of(asked, items, created)
+    assert sorted((r.pos, r.category) for r in found.collect()) == [(0, "B"), (1, "C"), (2, "B"), (3, None), (4, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan.split("Initial Plan")[-1]
